@@ -25,7 +25,7 @@ RULES = [
     ("repeated lines", "dup_line_share", None, 0.4),
 ]
 
-_WORDS = r"CASE WHEN _text IS NULL OR btrim(_text, ' \t\n\u000b\f\r') = '' THEN cast(array() AS array<string>) ELSE split(btrim(_text, ' \t\n\u000b\f\r'), '[\\x20\\x09-\\x0D]+') END"
+_WORDS = r"CASE WHEN _text IS NULL OR btrim(_text, ' \t\n\u000b\u000c\r') = '' THEN cast(array() AS array<string>) ELSE split(btrim(_text, ' \t\n\u000b\u000c\r'), '[\\x20\\x09-\\x0D]+') END"
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,10 +39,10 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     d = d.select(
         id_col,
         F.size("_words").alias("_n"),
-        F.expr(r"char_length(translate(_text, ' \t\n\u000b\f\r', ''))").alias("_chars"),
+        F.expr(r"char_length(translate(_text, ' \t\n\u000b\u000c\r', ''))").alias("_chars"),
         F.expr("char_length(_text) - char_length(translate(_text, '#*$%&|<>', ''))").alias("_symbols"),
         F.expr("char_length(_text) - char_length(translate(_text, '!', ''))").alias("_shouts"),
-        F.expr(r"filter(split(_text, '\n'), l -> btrim(l, ' \t\n\u000b\f\r') != '')").alias("_lines"),
+        F.expr(r"filter(split(_text, '\n'), l -> btrim(l, ' \t\n\u000b\u000c\r') != '')").alias("_lines"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).alias("_stops"),
         F.expr("cast(ceil(log2(size(_words) + 2)) AS int)").alias("_bits"),
         "_words",

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
+from .quality_model import op3_quality_classifier
 from .quality_rules import QUALITY_RULES_SQL, op6_quality_rules
+from .secrets import op7_secret_scans
 from .sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scans": op7_secret_scans,
 }
 ORACLES = {
     "op6_quality_rules": QUALITY_RULES_SQL,
