@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontamination import op8_decontamination
+from .language import op2_language_id
 from .packing import op5_packing
 from .quality_model import op3_quality_classifier
 from .quality_rules import QUALITY_RULES_SQL, op6_quality_rules
@@ -10,10 +12,12 @@ from .sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
+    "op8_decontamination": op8_decontamination,
 }
 ORACLES = {
     "op6_quality_rules": QUALITY_RULES_SQL,
