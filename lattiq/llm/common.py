@@ -133,3 +133,53 @@ def slices(batch, text: str = "text", most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
         yield batch.slice(at, to - at)
         at = to
+
+
+#: Bits of an id bitmap at most (16 MB); it only spares work, so a full one costs time and never a row.
+BITMAP_BITS = 1 << 27
+
+
+def id_bit(id_col: str, bits: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit("bit")), F.lit(bits))
+
+
+def id_bitmap(ids: DataFrame, id_col: str, rows: int) -> tuple[np.ndarray, int]:
+    """A bitmap with the bit of every id set, of 32 bits or so per row and BITMAP_BITS at most, and its number of bits. It is packed by the executors, a page per row."""
+    bits = 1 << min(BITMAP_BITS.bit_length() - 1, max(15, int(rows * 32).bit_length()))
+    page = min(bits, 1 << 15)
+
+    def pack(key, pdf):
+        import pandas as pd
+
+        found = np.zeros(page, np.uint8)
+        found[pdf["_bit"].to_numpy(np.int64) % page] = 1
+        return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(found).tobytes()]})
+
+    set_bits = ids.select(id_bit(id_col, bits).alias("_bit")).distinct()
+    pages = set_bits.groupBy(F.floor(F.col("_bit") / page).alias("page")).applyInPandas(pack, "page long, bits binary").toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    for at, data in zip(pages["page"], pages["bits"], strict=True):
+        out[at * page // 8 : (at + 1) * page // 8] = np.frombuffer(data, np.uint8)
+    return out, bits
+
+
+def maybe_in(df: DataFrame, id_col: str, bitmap: np.ndarray, bits: int, inside: bool = True) -> DataFrame:
+    """The rows whose id's bit is set (inside) or not; all columns stay and nothing is shuffled."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            bit = np.asarray(batch.column(batch.num_columns - 1))
+            hit = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            part = batch.filter(pa.array(hit if inside else ~hit))
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+
+    return df.withColumn("_bit", id_bit(id_col, bits)).mapInArrow(run, df.schema)
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose id is among ids. Only rows that may be among them, by a bitmap, meet ids in a join; the others never move."""
+    bitmap, bits = id_bitmap(ids, id_col, ids.count())
+    sure = maybe_in(df, id_col, bitmap, bits, inside=False)
+    rest = maybe_in(df, id_col, bitmap, bits).join(ids.select(id_col).distinct(), id_col, "left_anti")
+    return sure.unionByName(rest)

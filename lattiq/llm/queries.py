@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .jaccard import op10_jaccard_join
 from .language import op2_language_id
 from .packing import op5_packing
 from .quality_model import op3_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_decontamination": op8_decontamination,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {
     "op6_quality_rules": QUALITY_RULES_SQL,
