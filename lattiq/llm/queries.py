@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .exact_substrings import op4_exact_substrings
 from .jaccard import op10_jaccard_join
 from .language import op2_language_id
 from .packing import op5_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_exact_substrings": op4_exact_substrings,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
