@@ -11,6 +11,7 @@ from .quality_model import op3_quality_classifier
 from .quality_rules import QUALITY_RULES_SQL, op6_quality_rules
 from .secrets import op7_secret_scans
 from .sharding import op1_sharding
+from .transcripts import op9_chat_formatting
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_decontamination": op8_decontamination,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {
