@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, cut, id_bitmap, maybe_in, mix, slices, table, text_buffers
+from .common import Words, cut, drop_ids, id_bitmap, maybe_in, mix, slices, table, text_buffers
 from .components import components
 
 SHINGLE = 4
@@ -196,3 +196,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, the one of the smallest id; rows that repeat an id are brought to one. Documents without words, or without an id, stay."""
+    found = cut(join(docs, id_col, text_col))
+    out = drop_ids(docs, found.where(F.col("component_id") != F.col(id_col)).select(id_col), id_col)
+    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    n = twice.count()
+    if n:
+        bitmap, bits = id_bitmap(twice, id_col, n)
+        rest = maybe_in(out, id_col, bitmap, bits)
+        out = maybe_in(out, id_col, bitmap, bits, inside=False).unionByName(rest.where(F.col(id_col).isNull())).unionByName(rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return out
