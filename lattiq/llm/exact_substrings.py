@@ -24,6 +24,8 @@ ANCHOR = 128
 CHUNK = 4096
 #: Contexts that a bundle of anchors holds on average.
 BUNDLE = 8192
+#: Text bytes that a task hashes at once; about 150 bytes of memory go with each.
+SLICE = 1 << 20
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -150,7 +152,7 @@ def _anchor_rows(docs: DataFrame, length: int, anchor: int, bitmap=None) -> Data
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 data, offsets = text_buffers(batch.column("text"))
                 doc, p, lo, hi, h = anchors(data, offsets, length, anchor)
                 dk = np.asarray(batch.column("dk")).astype(np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
@@ -261,7 +263,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 data, offsets = text_buffers(batch.column("text"))
                 raw = data.tobytes()
                 found, kept = [], []
