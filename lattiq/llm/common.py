@@ -123,7 +123,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch, text: str = "text", most: int = 4 << 20):
+def slices(batch, text: str = "text", most: int = 1 << 20):
     """Cuts an Arrow batch into runs of rows of about `most` text bytes, so that memory follows the texts and not the row count."""
     import pyarrow.compute as pc
 
@@ -168,7 +168,7 @@ def maybe_in(df: DataFrame, id_col: str, bitmap: np.ndarray, bits: int, inside:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             bit = np.asarray(batch.column(batch.num_columns - 1))
             hit = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
             part = batch.filter(pa.array(hit if inside else ~hit))

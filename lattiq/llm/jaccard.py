@@ -42,15 +42,16 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     """A class per counter, growing with how many shingles of the whole corpus fall there. What reaches the driver is COUNTERS bytes, whatever the input."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for whole in batches:
             for batch in slices(whole, text_col):
                 h, _ = shingles(Words(*text_buffers(batch.column(text_col))), size)
-                total += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
+                met, n = np.unique((h >> np.uint64(42)).astype(np.int64), return_counts=True)
+                total[met] += n.astype(np.uint32)
         for page in range(COUNTERS // _PAGE):
             part = total[page * _PAGE : (page + 1) * _PAGE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["page", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([part.tobytes()], pa.binary())], names=["page", "counts"])
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_PAGE, np.int64)

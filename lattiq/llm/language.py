@@ -14,6 +14,8 @@ from .common import Words, held_out, mix, slices, table, text_buffers
 #: Documents and words that the field is fitted on at most; documents are drawn by a hash of their id.
 TRAIN_DOCS = 400
 TRAIN_WORDS = 120_000
+#: Text bytes that are labelled at once: sequences move together, so more of them share a step.
+SLICE = 4 << 20
 UNKNOWN = "und"
 _GRAMS = 1 << 16
 _HASHED = 1 << 15
@@ -183,7 +185,7 @@ def predict(df: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 data, offsets = text_buffers(batch.column(text_col))
                 n = batch.num_rows
                 best, score = np.full(n, -1), np.zeros(n)
@@ -214,7 +216,7 @@ def label_words(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 f = Features(*text_buffers(batch.column(text_col)))
                 w = f.words
                 p, _, _ = field.posteriors(field.emissions(f), w.first)
