@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm import decontamination, jaccard, packing, quality_model, secrets
-from lattiq.llm.common import table
+from lattiq.llm.common import small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of the corpus, doesn't reject."""
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, keep=docs.columns).where(F.col("score") >= quality_model.CUTOFF).drop("score")
+    return quality_model.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram Jaccard links join."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -38,6 +39,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of all documents."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -55,6 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents. Stages are written to the shared folder in spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    small_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     folder = f"{folder}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")

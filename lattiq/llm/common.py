@@ -14,9 +14,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Makes Arrow batches of whole texts a few MB: Spark's default of 10,000 rows is meant for narrow rows. A session that has chosen a size of its own keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's shared checkpoint folder and goes on from there.
 
@@ -163,6 +171,10 @@ def id_bitmap(ids: DataFrame, id_col: str, rows: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def has_bit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
 def maybe_in(df: DataFrame, id_col: str, bitmap: np.ndarray, bits: int, inside: bool = True) -> DataFrame:
     """The rows whose id's bit is set (inside) or not; all columns stay and nothing is shuffled."""
     import pyarrow as pa
@@ -170,7 +182,7 @@ def maybe_in(df: DataFrame, id_col: str, bitmap: np.ndarray, bits: int, inside:
     def run(batches):
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             bit = np.asarray(batch.column(batch.num_columns - 1))
-            hit = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            hit = has_bit(bitmap, bit)
             part = batch.filter(pa.array(hit if inside else ~hit))
             yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BLOCK, _CODE, _POW, _POW_INV, BITMAP_BITS, cut, id_bitmap, maybe_in, mix, range_hash, slices, table, text_buffers
+from .common import _BLOCK, _CODE, _POW, _POW_INV, BITMAP_BITS, cut, has_bit, id_bit, id_bitmap, maybe_in, mix, range_hash, slices, table, text_buffers
 
 LENGTH = 400
 ANCHOR = 128
@@ -258,12 +258,15 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     merged = spans.groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     merged = cut(merged)
     bitmap, bits = id_bitmap(merged, "dk", merged.count())
-    sure = maybe_in(docs, "dk", bitmap, bits, inside=False).withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
-    rest = maybe_in(docs, "dk", bitmap, bits).join(merged, "dk", "left").select(*sure.columns)
+    none = F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")
+    sure = docs.withColumns({"spans": none, "_bit": id_bit("dk", bits)})
+    rest = maybe_in(docs, "dk", bitmap, bits).join(merged, "dk", "left").withColumn("_bit", F.lit(-1).cast("long")).select(*sure.columns)
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", SLICE):
+            bit = np.asarray(whole.column("_bit"))
+            mine = (bit < 0) | ~has_bit(bitmap, np.maximum(bit, 0))  # joined already, or not in the bitmap
+            for batch in slices(whole.filter(pa.array(mine)), "text", SLICE):
                 data, offsets = text_buffers(batch.column("text"))
                 raw = data.tobytes()
                 found, kept = [], []
@@ -280,7 +283,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(offsets)), pa.array(found, kind), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return sure.unionByName(rest).select(id_col, "text", "spans").mapInArrow(run, f"{id_col} {kind}, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    return sure.unionByName(rest).select(id_col, "text", "spans", "_bit").mapInArrow(run, f"{id_col} {kind}, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
 
 
 def op4_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, cut, drop_ids, id_bitmap, maybe_in, mix, slices, table, text_buffers
+from .common import Words, cut, drop_ids, has_bit, id_bit, id_bitmap, maybe_in, mix, slices, table, text_buffers
 from .components import components
 
 SHINGLE = 4
@@ -120,12 +120,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text_col):
+            own = whole.filter(pa.array(has_bit(bitmap, np.asarray(whole.column("_bit")))))
+            for batch in slices(own, text_col):
                 token, _, first = _tokens(batch, text_col, size, classes.value)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), _lists(token, first)], names=["b", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sets = maybe_in(docs.select(id_col, text_col), id_col, bitmap, bits).mapInArrow(run, f"b {kind}, tokens array<long>")
+    sets = docs.select(id_col, text_col, id_bit(id_col, bits).alias("_bit")).mapInArrow(run, f"b {kind}, tokens array<long>")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_SETS).alias("_salts"))
     dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "_salts").alias("salt"))
     dealt = dealt.unionByName(dealt.select("a", F.col("a").alias("b"), "salt").distinct())

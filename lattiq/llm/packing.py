@@ -18,7 +18,7 @@ END_ID = 2
 #: Documents in a randomised group on average.
 GROUP_DOCS = 2048
 #: Words whose ids a Python worker keeps at most; beyond that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)?([.,!?;:]+)?")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -94,6 +94,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     for x, v in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
+        ids_of.clear()  # workers live on and serve other operators
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long")

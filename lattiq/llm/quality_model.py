@@ -183,6 +183,17 @@ def score(documents: DataFrame, model: Trees, id_col: str = "doc_id", text_col:
     return _stat_rows(documents, id_col, text_col, keep or [id_col], model)
 
 
+def keep_good(documents: DataFrame, model: Trees, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """The documents of a score of cutoff or more, with all their columns; judged in the scan."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                yield batch.filter(pa.array(model.predict(statistics(*text_buffers(batch.column(text_col)))) >= cutoff))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = train(documents, table(spark, sf_dir, "labels"))
