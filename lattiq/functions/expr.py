@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 #: Added before digests are rounded: unit prices often end in an exact half of the last digit, which engines round differently.
 NUDGE = 1.7e-8
+#: Numbers beyond this are shown by their decimal logarithm; their last digits are rounding noise.
+HUGE = 1e9
+
+
+def digest(name: str, digits: int = 6) -> Column:
+    """A computed number as queries show it."""
+    x = F.col(name)
+    return F.when(F.abs(x) < HUGE, F.round(x + NUDGE, digits)).otherwise(F.signum(x) * F.round(F.log10(F.abs(x)), digits)).alias(name)
 
 
 @dataclass(frozen=True)
@@ -400,7 +408,7 @@ class Compiler:
                 cols.append(f"{self._sql_window(e, a)} AS {self.names[e]}")
             views.append(f"s{i} AS (SELECT *, {', '.join(cols)} FROM {last})")
             last = f"s{i}"
-        shown = lambda s: s if digits is None else f"round({s} + {NUDGE}, {digits})"
+        shown = lambda s: s if digits is None else f"CASE WHEN abs({s}) < {HUGE} THEN round({s} + {NUDGE}, {digits}) ELSE sign({s}) * round(log10(abs({s})), {digits}) END"
         return "WITH " + ",\n".join(views) + f"\nSELECT {', '.join([self.date, self.code, *keep, *(f'{shown(self.sql_of(lift(e)))} AS {n}' for n, e in self.exprs.items())])} FROM {last}"
 
 

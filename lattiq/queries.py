@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expr import NUDGE, Compiler, Expr
+from .functions.expr import NUDGE, Compiler, Expr, digest
 from .operators.catalog import operators
-from .plans import alpha101, factors
+from .plans import alpha101, factors, short_horizon
 from .plans.panel import BRAND_PANEL_SQL, brand_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +21,7 @@ def _factor_query(name: str, exprs: dict[str, Expr], digits: int = 6) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = Compiler(exprs).apply(brand_panel(spark, sf_dir))
-        return found.select("date", "code", *(F.round(F.col(n) + NUDGE, digits).alias(n) for n in exprs))
+        return found.select("date", "code", *(digest(n, digits) for n in exprs))
 
     QUERIES[name] = run
     sql = Compiler(exprs).to_sql(BRAND_PANEL_SQL, digits=digits)
@@ -39,6 +39,13 @@ _alphas = alpha101.alphas()
 for _lo in range(1, 102, 10):
     _factor_query(f"zoo_alpha101_{_lo:03d}", {f"alpha_{k:03d}": _alphas[f"alpha_{k:03d}"] for k in range(_lo, min(_lo + 10, 102))})
 
+# Factors with a recursion along the series can't be stated in SQL; they are kept apart so that the others can be checked.
+_short = short_horizon.factors()
+_plain = [n for n, e in _short.items() if all(k != "seq" for k, _ in Compiler({n: e}).stages())]
+for _lo in range(0, len(_plain), 12):
+    _factor_query(f"zoo_short_{_plain[_lo][6:]}", {n: _short[n] for n in _plain[_lo : _lo + 12]})
+_factor_query("zoo_short_recursive", {n: e for n, e in _short.items() if n not in _plain})
+
 
 # ---------------------------------------------------------------------------------------------------------------- panels
 
