@@ -21,7 +21,7 @@ def test_stream_bars_equal_batch_bars(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("bars_out").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.table("bars_out").select("date", "code", "open", "high", "low", "close", "volume").collect())
-    want = sorted(tuple(r) for r in bars(ticks(events), "hour").select("date", "code", "open", "high", "low", "close", "volume").collect())
+    want = sorted(tuple(r) for r in bars(ticks(events).withColumn("ts", F.col("ts").cast("timestamp")), "hour").select("date", "code", "open", "high", "low", "close", "volume").collect())
     assert got == want
 
 
