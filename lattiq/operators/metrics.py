@@ -31,11 +31,11 @@ def curve_metrics(curve: DataFrame, at: str = "date", value: str = "equity", by:
     )
 
 
-def trade_stats(trades: DataFrame, by: list[str] | None = None, at: str = "sell_at", pnl: str = "pnl", tie: str = "sell_id") -> DataFrame:
+def trade_stats(trades: DataFrame, by: list[str] | None = None, at: str = "sell_at", pnl: str = "pnl", ties: tuple[str, ...] = ("sell_id", "buy_id")) -> DataFrame:
     """Per group: trades, win rate, average win over average loss, profit factor, longest run of losses. Runs are islands between wins in time order."""
     shown, by = by or [], by or ["_all"]
     trades = trades.withColumn("_all", F.lit(1))
-    w = W.partitionBy(*by).orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*by).orderBy(at, *ties).rowsBetween(W.unboundedPreceding, 0)
     t = trades.withColumn("_win", (F.col(pnl) > 0).cast("int")).withColumn("_island", F.sum("_win").over(w))
     runs = t.where(F.col(pnl) < 0).groupBy(*by, "_island").agg(F.count(F.lit(1)).alias("_run")).groupBy(*by).agg(F.max("_run").alias("_longest"))
     win, loss = F.when(F.col(pnl) > 0, F.col(pnl)), F.when(F.col(pnl) < 0, -F.col(pnl))

@@ -340,3 +340,109 @@ SELECT concat_ws(':', conv_id, turn) AS id, CAST(p + n AS INT) AS hits, round(co
 def text_lexicon(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     return text.lexicon_score(c, ["the", "la", "die"], ["of", "de", "und"], "id", "text").select("id", "hits", _r("score"))
+
+
+# ---------------------------------------------------------------------------------------------------------------- journal
+
+from .operators import journal as J  # noqa: E402
+
+_TRADES = """t0 AS (SELECT event_id AS trade_id, ts AS datetime, user_id AS symbol, CASE WHEN event_type = 'purchase' THEN 'buy' ELSE 'sell' END AS side,
+  CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS quantity, value AS price FROM events WHERE event_type IN ('purchase', 'click')),
+trades AS (SELECT *, price * quantity * 0.0005 AS fee FROM t0)"""
+_TRIPS = f"""{_TRADES},
+r AS (SELECT *, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY datetime, trade_id ROWS UNBOUNDED PRECEDING) AS cum FROM trades),
+s AS (SELECT *, greatest(0, -min(cum) OVER (PARTITION BY symbol ORDER BY datetime, trade_id ROWS UNBOUNDED PRECEDING)) AS short FROM r),
+f AS (SELECT *, CASE WHEN side = 'buy' THEN quantity ELSE quantity - (short - coalesce(lag(short) OVER (PARTITION BY symbol ORDER BY datetime, trade_id), 0)) END AS filled FROM s),
+x AS (SELECT *, sum(filled) OVER (PARTITION BY symbol, side ORDER BY datetime, trade_id ROWS UNBOUNDED PRECEDING) AS hi FROM f),
+trips AS (SELECT b.symbol, b.trade_id AS buy_id, z.trade_id AS sell_id, b.datetime AS buy_at, z.datetime AS sell_at, least(b.hi, z.hi) - greatest(b.hi - b.filled, z.hi - z.filled) AS matched,
+    (z.price - b.price) * (least(b.hi, z.hi) - greatest(b.hi - b.filled, z.hi - z.filled)) - b.fee * (least(b.hi, z.hi) - greatest(b.hi - b.filled, z.hi - z.filled)) / b.quantity - z.fee * (least(b.hi, z.hi) - greatest(b.hi - b.filled, z.hi - z.filled)) / z.quantity AS pnl
+  FROM x b JOIN x z ON b.symbol = z.symbol AND b.side = 'buy' AND z.side = 'sell' AND b.filled > 0 AND z.filled > 0 AND b.hi - b.filled < z.hi AND z.hi - z.filled < b.hi)"""
+ORACLES["journal_fifo_round_trips"] = f"WITH {_TRIPS} SELECT symbol, buy_id, sell_id, matched, {_sqlr('pnl', digits=4)} FROM trips"
+ORACLES["journal_stats_by_symbol"] = f"""WITH {_TRIPS}, w AS (SELECT *, sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY sell_at, sell_id, buy_id ROWS UNBOUNDED PRECEDING) AS island FROM trips),
+l AS (SELECT symbol, max(n) AS longest_losing_run FROM (SELECT symbol, island, count(*) AS n FROM w WHERE pnl < 0 GROUP BY 1, 2) GROUP BY 1)
+SELECT symbol, count(*) AS n_trades, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) + {NUDGE}, 6) AS win_rate, round(sum(pnl) + {NUDGE}, 4) AS total_pnl, round(sum(CASE WHEN pnl > 0 THEN pnl END) / sum(CASE WHEN pnl < 0 THEN -pnl END) + {NUDGE}, 6) AS profit_factor,
+  coalesce(any_value(longest_losing_run), 0) AS longest_losing_run FROM trips LEFT JOIN l USING (symbol) GROUP BY symbol"""
+
+
+def _severity_sql(kind: str) -> str:
+    medium, high = J.SEVERITIES[kind]
+    return f"CASE WHEN score >= {high} THEN 'high' WHEN score >= {medium} THEN 'medium' ELSE 'low' END AS severity"
+
+
+@query(f"""WITH {_TRIPS}, h AS (SELECT *, (epoch_us(sell_at) - epoch_us(buy_at)) / 86400000000.0 AS d FROM trips), a AS (SELECT avg(CASE WHEN pnl > 0 THEN d END) AS winner_days, avg(CASE WHEN pnl < 0 THEN d END) AS loser_days FROM h),
+b AS (SELECT *, loser_days / winner_days AS score FROM a) SELECT {_sqlr('winner_days', 'loser_days', 'score')}, {_severity_sql('disposition')} FROM b""")
+def journal_disposition(spark, sf_dir):
+    return J.disposition(joins.fifo_lots(journal(spark, sf_dir))).select(_r("winner_days"), _r("loser_days"), _r("score"), "severity")
+
+
+@query(f"""WITH {_TRIPS}, d AS (SELECT CAST(datetime AS DATE) AS day, count(*) AS n FROM trades GROUP BY 1), c AS (SELECT quantile_cont(n, 0.75) AS busy, quantile_cont(n, 0.25) AS quiet FROM d),
+m AS (SELECT avg(CASE WHEN n >= busy THEN pnl END) AS busy_pnl, avg(CASE WHEN n <= quiet THEN pnl END) AS quiet_pnl FROM trips JOIN d ON d.day = CAST(sell_at AS DATE), c),
+b AS (SELECT *, CASE WHEN quiet_pnl > busy_pnl THEN (quiet_pnl - busy_pnl) / abs(quiet_pnl) ELSE 0 END AS score FROM m) SELECT {_sqlr('busy_pnl', 'quiet_pnl', digits=4)}, {_sqlr('score')}, {_severity_sql('overtrading')} FROM b""")
+def journal_overtrading(spark, sf_dir):
+    t = journal(spark, sf_dir)
+    return J.overtrading(t, joins.fifo_lots(t)).select(_r("busy_pnl", 4), _r("quiet_pnl", 4), _r("score"), "severity")
+
+
+@query(f"""WITH {_TRADES}, b AS (SELECT price, lag(price, 3) OVER (PARTITION BY symbol ORDER BY datetime, trade_id) AS p3 FROM trades WHERE side = 'buy'), s AS (SELECT avg(CASE WHEN price > p3 * 1.03 THEN 1.0 ELSE 0.0 END) AS score, count(*) AS n_buys FROM b WHERE p3 IS NOT NULL)
+SELECT {_sqlr('score')}, n_buys, {_severity_sql('chasing')} FROM s""")
+def journal_chasing(spark, sf_dir):
+    return J.chasing(journal(spark, sf_dir)).select(_r("score"), "n_buys", "severity")
+
+
+@query(f"""WITH {_TRADES}, g AS (SELECT symbol, avg(price) AS m, stddev_samp(price) AS sd FROM trades GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT avg(CASE WHEN sd / m < 0.05 THEN 1.0 ELSE 0.0 END) AS score, count(*) AS n_symbols FROM g WHERE m != 0)
+SELECT {_sqlr('score')}, n_symbols, {_severity_sql('anchoring')} FROM s""")
+def journal_anchoring(spark, sf_dir):
+    return J.anchoring(journal(spark, sf_dir)).select(_r("score"), "n_symbols", "severity")
+
+
+@query(f"""WITH {_TRIPS}, t AS (SELECT count(*) AS n_trades, date_diff('day', min(datetime), max(datetime)) / 7.0 AS weeks FROM trades),
+d AS (SELECT CAST(sell_at AS DATE) AS day, sum(pnl) AS p FROM trips GROUP BY 1), c AS (SELECT day, sum(p) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS c FROM d),
+k AS (SELECT c - greatest(max(c) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 0) AS fall FROM c), fl AS (SELECT min(fall) AS max_fall FROM k),
+q AS (SELECT count(*) AS n_round_trips, avg((epoch_us(sell_at) - epoch_us(buy_at)) / 86400000000.0) AS mean_hold_days, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(CASE WHEN pnl > 0 THEN pnl END) / avg(CASE WHEN pnl < 0 THEN -pnl END) AS win_loss_ratio, sum(pnl) AS total_pnl FROM trips)
+SELECT n_trades, round(n_trades / greatest(weeks, 1) + {NUDGE}, 6) AS trades_per_week, n_round_trips, {_sqlr('mean_hold_days', 'win_rate', 'win_loss_ratio')}, {_sqlr('total_pnl', 'max_fall', digits=3)} FROM t, q, fl""")
+def journal_profile(spark, sf_dir):
+    t = journal(spark, sf_dir)
+    p = J.profile(t, joins.fifo_lots(t))
+    return p.select("n_trades", _r("trades_per_week"), "n_round_trips", _r("mean_hold_days"), _r("win_rate"), _r("win_loss_ratio"), _r("total_pnl", 3), _r("max_fall", 3))
+
+
+# ------------------------------------------------------------------------------------------------- selection, composites
+
+
+@query(f"""WITH {BRAND_PANEL_SQL}, m AS (SELECT date, code, close / lag(close, 5) OVER (PARTITION BY code ORDER BY date) - 1 AS s FROM panel),
+p AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC, code) AS hi, row_number() OVER (PARTITION BY date ORDER BY s, code) AS lo FROM m WHERE s IS NOT NULL)
+SELECT date, code, CASE WHEN hi <= 3 THEN 1 ELSE -1 END AS position FROM p WHERE hi <= 3 OR lo <= 3""")
+def select_long_short_positions(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    m = Compiler({"s": C / X.delay(C, 5) - 1}).apply(brand_panel(spark, sf_dir)).where("s IS NOT NULL")
+    at = W.partitionBy("date")
+    p = m.withColumn("hi", F.row_number().over(at.orderBy(F.desc("s"), "code"))).withColumn("lo", F.row_number().over(at.orderBy("s", "code")))
+    return p.where("hi <= 3 OR lo <= 3").select("date", "code", F.when(F.col("hi") <= 3, 1).otherwise(-1).alias("position"))
+
+
+_factor_query("composite_weighted_ranks", {"composite": X.rank(C / X.delay(C, 5) - 1) * 0.5 + X.rank(X.col("volume")) * 0.3 + X.rank(-X.ts_std(C / X.delay(C, 1) - 1, 10)) * 0.2})
+
+
+@query(f"""WITH {BRAND_PANEL_SQL}, m AS (SELECT date, code, exp(close / 1000 - max(close / 1000) OVER (PARTITION BY date)) AS e FROM panel) SELECT date, code, round(e / sum(e) OVER (PARTITION BY date) + {NUDGE}, 6) AS weight FROM m""")
+def weights_softmax(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    at = W.partitionBy("date")
+    p = brand_panel(spark, sf_dir).withColumn("e", F.exp(F.col("close") / 1000 - F.max(F.col("close") / 1000).over(at)))
+    return p.withColumn("weight", F.col("e") / F.sum("e").over(at)).select("date", "code", _r("weight"))
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    """The factor catalogue: name, family and the columns each expression reads; a few hundred rows made from the library itself."""
+    rows = []
+    for family, exprs in {"alpha101": _alphas, "short": _short, "academic": factors.academic(), "bar": factors.bar_shapes(), **{f"window_{n}": factors.window_features(n) for n in factors.WINDOWS}}.items():
+        for name, e in exprs.items():
+            rows.append((name, family, sorted({x.param[0] for x in Compiler({name: e}).order if x.op == "col"})))
+    return spark.createDataFrame(rows, "name string, family string, columns array<string>")
+
+
+@query()
+def catalog_columns_by_family(spark, sf_dir):
+    c = _catalog(spark).select("family", F.explode("columns").alias("column"))
+    return c.groupBy("family").pivot("column", ["open", "high", "low", "close", "volume", "amount", "vwap"]).count().na.fill(0)
