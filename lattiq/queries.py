@@ -446,3 +446,63 @@ def _catalog(spark: SparkSession) -> DataFrame:
 def catalog_columns_by_family(spark, sf_dir):
     c = _catalog(spark).select("family", F.explode("columns").alias("column"))
     return c.groupBy("family").pivot("column", ["open", "high", "low", "close", "volume", "amount", "vwap"]).count().na.fill(0)
+
+
+# ------------------------------------------------------------------------------------------------------- benches, options
+
+from .operators import bench as B  # noqa: E402
+from .operators import options  # noqa: E402
+
+_FAMILY = factors.bar_shapes()
+_LONG = (
+    "WITH " + BRAND_PANEL_SQL.replace("panel AS", "panel0 AS", 1)
+    + ",\nw AS (" + Compiler({**_FAMILY, "label": MOMENTUM["label"]}).to_sql("panel AS (SELECT * FROM panel0)", digits=None).replace("WITH panel AS (SELECT * FROM panel0),\n", "WITH ").replace(" FROM panel)", " FROM panel0)") + ")"
+    + f",\nlong AS (SELECT date, code, label, factor, value FROM (UNPIVOT w ON {', '.join(_FAMILY)} INTO NAME factor VALUE value) WHERE label IS NOT NULL AND value IS NOT NULL)"
+)
+
+
+def _ics_sql(source: str, out: str) -> str:
+    k = "PARTITION BY factor, date"
+    return f""",
+{out}_r AS (SELECT factor, date, (rank() OVER ({k} ORDER BY value) + (count(*) OVER ({k}, value) - 1) / 2.0) / count(*) OVER ({k}) AS f, (rank() OVER ({k} ORDER BY label) + (count(*) OVER ({k}, label) - 1) / 2.0) / count(*) OVER ({k}) AS y FROM {source}),
+{out} AS (SELECT factor, date, covar_samp(f, y) / (stddev_samp(f) * stddev_samp(y)) AS ic FROM {out}_r GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_samp(f) > 1e-13 AND stddev_samp(y) > 1e-13)"""
+
+
+@query(_LONG + _ics_sql("long", "ics") + f""",
+s AS (SELECT factor, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS positive_share, count(*) AS ic_count FROM ics GROUP BY 1)
+SELECT factor, {_sqlr('ic_mean', 'ic_std', 'positive_share')}, round(ic_mean / ic_std + {NUDGE}, 6) AS ir, ic_count,
+  CASE WHEN ic_mean > 0.02 AND positive_share >= 0.55 AND abs(ic_mean / (ic_std / sqrt(ic_count))) > 2 THEN 'alive' WHEN ic_mean < -0.02 AND abs(ic_mean / (ic_std / sqrt(ic_count))) > 2 THEN 'reversed' ELSE 'dead' END AS category FROM s""")
+def bench_family(spark, sf_dir):
+    s = B.bench(B.daily_ics(B.long_table(brand_panel(spark, sf_dir), _FAMILY, MOMENTUM["label"])))
+    return s.select("factor", _r("ic_mean"), _r("ic_std"), _r("positive_share"), _r("ir"), "ic_count", "category")
+
+
+@query(_LONG + "".join(
+    f""",
+h{k} AS (SELECT *, row_number() OVER (PARTITION BY factor, date ORDER BY code) AS i, row_number() OVER (PARTITION BY factor, date ORDER BY md5(concat_ws('|', '{k}', factor, code, CAST(date AS VARCHAR))), code) AS h FROM long),
+g{k} AS (SELECT a.date, a.code, a.factor, b.value, a.label FROM h{k} a JOIN h{k} b ON a.factor = b.factor AND a.date = b.date AND a.i = b.h)""" + _ics_sql(f"g{k}", f"rnd{k}") for k in range(2)) + _ics_sql("long", "ics") + f""",
+c AS (SELECT factor, date, avg(ic) AS r FROM (SELECT * FROM rnd0 UNION ALL SELECT * FROM rnd1) GROUP BY 1, 2 HAVING count(*) = 2),
+a AS (SELECT factor, date, ic - r AS a FROM ics JOIN c USING (factor, date)),
+t AS (SELECT factor, avg(a) / (stddev_samp(a) / sqrt(count(a))) AS t_full, avg(a) FILTER (date < DATE '1999-01-01') / (stddev_samp(a) FILTER (date < DATE '1999-01-01') / sqrt(count(a) FILTER (date < DATE '1999-01-01'))) AS t_train,
+  avg(a) FILTER (date >= DATE '1999-01-01') / (stddev_samp(a) FILTER (date >= DATE '1999-01-01') / sqrt(count(a) FILTER (date >= DATE '1999-01-01'))) AS t_test, count(*) AS ic_count FROM a GROUP BY 1)
+SELECT factor, {_sqlr('t_full', 't_train', 't_test')}, ic_count, CASE WHEN ic_count < 30 THEN 'noise' WHEN t_full <= -2 THEN 'reversed_strict' WHEN t_full >= 2 AND (t_test IS NULL OR t_test >= 2) THEN 'confirmed_alive' WHEN t_full >= 2 AND t_test <= -2 THEN 'reversed_strict'
+  WHEN t_full >= 2 THEN 'train_only' ELSE 'noise' END AS category FROM t""")
+def bench_family_strict(spark, sf_dir):
+    s = B.strict_bench(B.long_table(brand_panel(spark, sf_dir), _FAMILY, MOMENTUM["label"]), "1999-01-01", seeds=2)
+    return s.select("factor", _r("t_full"), _r("t_train"), _r("t_test"), "ic_count", "category")
+
+
+@query()
+def option_prices(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("spot"), (F.col("p_retailprice") * (0.8 + F.col("p_size") / 125)).alias("strike"), (F.col("p_size") / 365).alias("years"))
+    p = p.withColumns({"vol": options.smile(F.col("spot"), F.col("strike"), F.lit(0.25)), "call": F.col("id") % 2 == 0})
+    return options.black_scholes(p, "spot", "strike", "years", 0.03, "vol", "call").select("id", *(_r(c) for c in ("price", "delta", "gamma", "theta", "vega")))
+
+
+@query(f"""WITH {BRAND_PANEL_SQL}, r AS (SELECT date, code, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM panel),
+v AS (SELECT date, code, CASE WHEN count(r) OVER w = 60 THEN stddev_samp(r) OVER w END AS s FROM r WINDOW w AS (PARTITION BY code ORDER BY date ROWS 59 PRECEDING)) SELECT date, code, round(1 / s / sum(1 / s) OVER (PARTITION BY date) + {NUDGE}, 6) AS weight FROM v WHERE s IS NOT NULL""")
+def weights_equal_volatility(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    v = Compiler({"s": X.ts_std(C / X.delay(C, 1) - 1, 60)}).apply(brand_panel(spark, sf_dir)).where("s IS NOT NULL")
+    return v.select("date", "code", F.round(1 / F.col("s") / F.sum(1 / F.col("s")).over(W.partitionBy("date")) + NUDGE, 6).alias("weight"))

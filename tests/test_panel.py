@@ -136,3 +136,23 @@ def test_permutation_is_replayable(spark):
     s, r = [1.0, -1.0, 1.0, 1.0], [0.1, -0.1, 0.1, 0.2]
     a, b = (validation.p_value(validation.permutation(spark, s, r, draws=50)).first() for _ in range(2))
     assert a == b and 0 < a["p_value"] <= 1
+
+
+def test_option_prices_equal_the_closed_form(spark):
+    import math
+
+    from lattiq.operators import options
+
+    cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+    rows = [(100.0, k, t, v, c) for k in (80.0, 100.0, 130.0) for t in (0.0, 0.1, 1.5) for v in (0.1, 0.4) for c in (True, False)]
+    df = spark.createDataFrame(rows, "s double, k double, t double, v double, c boolean")
+    got = options.black_scholes(df, "s", "k", "t", 0.02, "v", "c").collect()
+    for r in got:
+        sign = 1 if r.c else -1
+        if r.t == 0:
+            assert r.price == max(0.0, sign * (100 - r.k))
+            continue
+        d1 = (math.log(100 / r.k) + (0.02 + r.v**2 / 2) * r.t) / (r.v * math.sqrt(r.t))
+        d2 = d1 - r.v * math.sqrt(r.t)
+        assert abs(r.price - sign * (100 * cdf(sign * d1) - r.k * math.exp(-0.02 * r.t) * cdf(sign * d2))) < 1e-4
+        assert abs(r.delta - sign * cdf(sign * d1)) < 1e-6
