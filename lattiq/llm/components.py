@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _print(e: DataFrame) -> tuple:
+    """Tells a link table from another; links that are stars already stay as they are, and one step is enough to see it."""
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, component: the smallest node that each linked node reaches. Nodes without a link to another have no row.
 
     Each step points nodes to the smallest neighbour they know; a few steps, logarithmic in the longest chain, leave stars. No group is gathered: minima are aggregated and joined back.
     """
     e = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = cut(e), None
+    e = cut(e)
+    seen = _print(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -22,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        now = _print(e)
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now

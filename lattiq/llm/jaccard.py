@@ -189,7 +189,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     more = cut(more.join(seen, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = _verify(more, docs, id_col, text_col, size, classes, part, of).where("linked").select("a", "b")
-        reached = components(links.unionByName(found))
+        if not found.isEmpty():  # components known so far stand for their links
+            reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     found = sets.select("f1", "f2", "n", "s").join(reached.select(F.col("node").alias("s"), "component"), "s", "left").select("f1", "f2", "n", F.coalesce("component", "s").alias("_component"))
     some = rows.where("n > 0").drop("prefix").join(found, ["f1", "f2", "n"], "left").select(id_col, F.col("n").alias("n_shingles"), F.col("_component").alias("component_id"))
     none = rows.where("n = 0").select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"))
