@@ -84,6 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
 def repeated_starts(contexts: list[bytes], before: np.ndarray, after: np.ndarray, group: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """Column-wise suffix sorting of aligned documents.
 
+    The symbol file is scratch of this one call, written and read by this task alone and gone with it; a lost task starts it anew elsewhere.
     contexts: text[lo:hi + length] each; before = p - lo and after = p - hi tell how it lies around its anchor; group: only documents of one group are compared. Returns two boolean matrices by
     (start from the anchor backwards, document): the string that starts there occurs in another document of the group; and it is the first of its equals in sorted order.
     """
