@@ -191,7 +191,8 @@ def _rid_bitmap(ids: DataFrame, rows: int) -> tuple[np.ndarray, int]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """docs (dk, text) -> spans (dk, lo, hi) in bytes, overlapping ones as they come: every string of `length` bytes that occurs twice lies in a span, and each byte of a span in such a string."""
-    counted = _anchor_rows(docs, length, anchor).groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    # written first: joined to an aggregate directly, a frequent anchor's rows could not be split between tasks
+    counted = cut(_anchor_rows(docs, length, anchor).groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"))
     rows = cut(_anchor_rows(docs, length, anchor).join(counted, "h"))
     # Equal contexts: all strings of both are repeated. One of each kind goes on to meet the others of its anchor.
     kinds = rows.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "dk", "p", "lo", "hi")).alias("one"))
