@@ -17,12 +17,15 @@ EPS = 1e-12
 NUDGE = 1.7e-8
 #: Numbers beyond this are shown by their decimal logarithm; their last digits are rounding noise.
 HUGE = 1e9
+#: From here on three digits fewer are shown, so that no more than about twelve places of a double are compared.
+LARGE = 1e3
 
 
 def digest(name: str, digits: int = 6) -> Column:
     """A computed number as queries show it."""
     x = F.col(name)
-    return F.when(F.abs(x) < HUGE, F.round(x + NUDGE, digits)).otherwise(F.signum(x) * F.round(F.log10(F.abs(x)), digits)).alias(name)
+    shown = F.when(F.abs(x) < LARGE, F.round(x + NUDGE, digits)).when(F.abs(x) < HUGE, F.round(x + NUDGE, max(digits - 3, 0)))
+    return shown.otherwise(F.signum(x) * F.round(F.log10(F.abs(x)), digits)).alias(name)
 
 
 @dataclass(frozen=True)
@@ -71,6 +74,7 @@ where = lambda c, a, b: Expr("where", (c, lift(a), lift(b)))
 eq = lambda a, b: Expr("=", (lift(a), lift(b)))
 absolute = lambda x: Expr("abs", (x,))
 log = lambda x: Expr("log", (x,))
+exponential = lambda x: Expr("exp", (x,))
 sign = lambda x: Expr("sign", (x,))
 power = lambda x, p: Expr("power", (x, lift(p)))
 signed_power = lambda x, p: Expr("signed_power", (x, lift(p)))
@@ -110,10 +114,11 @@ scale = lambda x, a=1.0: Expr("scale", (x,), (float(a),))
 cs_zscore = lambda x: Expr("cs_zscore", (x,))
 cs_mean = lambda x: Expr("cs_mean", (x,))
 cs_std = lambda x: Expr("cs_std", (x,))
+cs_count = lambda x: Expr("cs_count", (x,))
 neutralize = lambda x: Expr("neutralize", (x,))
 
 TS = {"delay", "ts_sum", "ts_mean", "ts_std", "ts_max", "ts_min", "ts_rank", "ts_argmax", "ts_argmin", "ts_product", "ts_skew", "ts_slope", "ts_quantile", "decay_linear", "ts_corr", "ts_cov", "row_index", "cum_sum", "cum_max", "last_known", "lead"}
-CS = {"rank", "scale", "cs_zscore", "cs_mean", "cs_std", "neutralize"}
+CS = {"rank", "scale", "cs_zscore", "cs_mean", "cs_std", "cs_count", "neutralize"}
 SEQ = {"sma"}
 _KIND = dict.fromkeys(TS, "ts") | dict.fromkeys(CS, "cs") | dict.fromkeys(SEQ, "seq")
 #: Operators that compare values; computed arguments are compared to 1e-9, so that rounding noise makes no order.
@@ -143,6 +148,8 @@ def _elementwise(e: Expr, a: list[Column]) -> Column:
         return F.abs(a[0])
     if op == "log":
         return F.when(a[0] > 0, F.log(a[0]))
+    if op == "exp":
+        return F.exp(a[0])
     if op == "sign":
         return F.signum(a[0])
     if op == "power":
@@ -175,6 +182,8 @@ def _window(e: Expr, a: list[Column], code: str, date: str) -> Column:
             return mean
         if op == "cs_std":
             return std
+        if op == "cs_count":
+            return F.count(x).over(at).cast("double")
         return x - F.avg(x).over(W.partitionBy(date, "sector"))
     if op == "delay":
         return F.lag(x, e.param[0]).over(ordered)
@@ -348,7 +357,7 @@ class Compiler:
         if op in ("and", "or"):
             return f"({a[0]} {op} {a[1]})"
         forms = {
-            "where": "CASE WHEN {0} THEN {1} ELSE {2} END", "abs": "abs({0})", "log": "CASE WHEN {0} > 0 THEN ln({0}) END", "sign": "CAST(sign({0}) AS DOUBLE)",
+            "where": "CASE WHEN {0} THEN {1} ELSE {2} END", "abs": "abs({0})", "log": "CASE WHEN {0} > 0 THEN ln({0}) END", "exp": "exp({0})", "sign": "CAST(sign({0}) AS DOUBLE)",
             "power": "CASE WHEN {0} >= 0 OR {1} = floor({1}) THEN CASE WHEN {0} != 0 OR {1} >= 0 THEN pow({0}, {1}) END END", "signed_power": "(sign({0}) * pow(abs({0}), {1}))",
             "maximum": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN greatest({0}, {1}) END", "minimum": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN least({0}, {1}) END",
             "fill": "coalesce({0}, {1})", "safe_div": "({0} / nullif({1} + 1e-12 * sign({1}), 0))",
@@ -363,7 +372,7 @@ class Compiler:
         forms = {
             "scale": f"{e.param[0] if e.param else 1} * {x} / nullif(sum(abs({x})) OVER ({date}), 0)",
             "cs_zscore": f"({x} - avg({x}) OVER ({date})) / CASE WHEN stddev_samp({x}) OVER ({date}) > {_FLAT} THEN stddev_samp({x}) OVER ({date}) END",
-            "cs_mean": f"avg({x}) OVER ({date})", "cs_std": f"stddev_samp({x}) OVER ({date})", "neutralize": f"{x} - avg({x}) OVER (PARTITION BY {self.date}, sector)",
+            "cs_mean": f"avg({x}) OVER ({date})", "cs_std": f"stddev_samp({x}) OVER ({date})", "cs_count": f"CAST(count({x}) OVER ({date}) AS DOUBLE)", "neutralize": f"{x} - avg({x}) OVER (PARTITION BY {self.date}, sector)",
             "row_index": f"CAST(row_number() OVER ({series}) AS DOUBLE)", "cum_sum": f"sum({x}) OVER ({series} ROWS UNBOUNDED PRECEDING)", "cum_max": f"max({x}) OVER ({series} ROWS UNBOUNDED PRECEDING)",
         }
         if op in forms:
@@ -408,7 +417,7 @@ class Compiler:
                 cols.append(f"{self._sql_window(e, a)} AS {self.names[e]}")
             views.append(f"s{i} AS (SELECT *, {', '.join(cols)} FROM {last})")
             last = f"s{i}"
-        shown = lambda s: s if digits is None else f"CASE WHEN abs({s}) < {HUGE} THEN round({s} + {NUDGE}, {digits}) ELSE sign({s}) * round(log10(abs({s})), {digits}) END"
+        shown = lambda s: s if digits is None else f"CASE WHEN abs({s}) < {LARGE} THEN round({s} + {NUDGE}, {digits}) WHEN abs({s}) < {HUGE} THEN round({s} + {NUDGE}, {max(digits - 3, 0)}) ELSE sign({s}) * round(log10(abs({s})), {digits}) END"
         return "WITH " + ",\n".join(views) + f"\nSELECT {', '.join([self.date, self.code, *keep, *(f'{shown(self.sql_of(lift(e)))} AS {n}' for n, e in self.exprs.items())])} FROM {last}"
 
 

@@ -506,3 +506,57 @@ def weights_equal_volatility(spark, sf_dir):
 
     v = Compiler({"s": X.ts_std(C / X.delay(C, 1) - 1, 60)}).apply(brand_panel(spark, sf_dir)).where("s IS NOT NULL")
     return v.select("date", "code", F.round(1 / F.col("s") / F.sum(1 / F.col("s")).over(W.partitionBy("date")) + NUDGE, 6).alias("weight"))
+
+
+# ------------------------------------------------------------------------------------------- accounts, news, large trades
+
+from .operators import sentiment as S  # noqa: E402
+from .plans import fundamental  # noqa: E402
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-ins for accounts on the brand panel: the bar's return, the unexplained turnover and the mean price."""
+    return brand_panel(spark, sf_dir).withColumns({"roe": F.col("close") / F.col("open") - 1, "accruals": F.when(F.col("volume") > 20, F.col("amount") - F.col("close") * F.col("volume")), "bvps": F.col("vwap")})
+
+
+@query(Compiler(fundamental.fundamentals()).to_sql(
+    BRAND_PANEL_SQL.replace("panel AS", "panel0 AS", 1) + ",\npanel AS (SELECT *, close / open - 1 AS roe, CASE WHEN volume > 20 THEN amount - close * volume END AS accruals, vwap AS bvps FROM panel0)"
+))
+def zoo_fundamental(spark, sf_dir):
+    exprs = fundamental.fundamentals()
+    return Compiler(exprs).apply(_accounts(spark, sf_dir)).select("date", "code", *(digest(n) for n in exprs))
+
+
+@query(f"""WITH n AS (SELECT user_id AS code, value / 100 - 0.5 AS score, event_type AS source, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events),
+a AS (SELECT code, avg(score) FILTER (place <= 20) AS score, count(*) AS articles, count(DISTINCT source) AS sources, stddev_pop(score) AS spread FROM n WHERE place <= 30 GROUP BY 1),
+s AS (SELECT code, score, ln(1 + articles) * (1 + least(sources / 5, 1) * 0.5) AS heat, CASE WHEN articles >= 3 THEN spread ELSE 0 END AS divergence FROM a)
+SELECT code, {_sqlr('score', 'heat', 'divergence')} FROM s""")
+def sentiment_news(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("code"), F.col("ts").alias("at"), F.col("event_id").alias("article_id"), (F.col("value") / 100 - 0.5).alias("score"), F.col("event_type").alias("source"))
+    return S.news_scores(e).select("code", _r("score"), _r("heat"), _r("divergence"))
+
+
+def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and clicks as reported buying and selling; sizes beyond 50 stand for institutions."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    sign = F.when(F.col("event_type") == "purchase", 1).otherwise(-1)
+    return table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click")).select(
+        F.col("user_id").alias("code"), F.to_date("ts").alias("date"), F.col("event_id").alias("report_id"), (F.col("value") * sign).alias("net"), F.col("value").alias("deal"), F.when(sign == 1, F.col("value")).alias("bought"), (k > 50).cast("int").alias("institutions")
+    )
+
+
+_BOARD = """WITH b AS (SELECT user_id AS code, CAST(ts AS DATE) AS date, event_id, CASE WHEN event_type = 'purchase' THEN value ELSE -value END AS net, value AS deal, CASE WHEN event_type = 'purchase' THEN value END AS bought,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 50 THEN 1 ELSE 0 END AS institutions FROM events WHERE event_type IN ('purchase', 'click'))"""
+
+
+@query(f"""{_BOARD}, d AS (SELECT min(date) AS first_date FROM (SELECT DISTINCT date FROM b ORDER BY date DESC LIMIT 20)),
+s AS (SELECT code, sum(net) AS net, sum(deal) AS deal, count(*) AS n FROM b, d WHERE date >= first_date GROUP BY 1),
+t AS (SELECT code, greatest(least(CASE WHEN deal > 0 THEN net / deal ELSE 0 END * ln(1 + n), 1), -1) AS board FROM s) SELECT code, {_sqlr('board')} FROM t""")
+def sentiment_board(spark, sf_dir):
+    return S.board_scores(_board(spark, sf_dir)).select("code", _r("board"))
+
+
+@query(f"""{_BOARD}, r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC, event_id DESC) AS place FROM b),
+t AS (SELECT code, avg(tanh(net / greatest(coalesce(bought, 0), 1) + 0.1 * institutions)) AS seats FROM r WHERE place <= 5 GROUP BY 1) SELECT code, {_sqlr('seats')} FROM t""")
+def sentiment_seats(spark, sf_dir):
+    return S.seat_scores(_board(spark, sf_dir)).select("code", _r("seats"))
