@@ -344,6 +344,49 @@ def test_decontamination_finds_copies_and_edits(spark, none):
     assert decontamination.contaminations(none, bench).count() == 0 and decontamination.contaminations(df, bench.limit(0)).count() == 0
 
 
+def test_edited_single_copies_equal_brute_force(spark):
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    items, docs = [], []
+
+    def put(item, copy):
+        items.append((len(items), " ".join(item)))
+        docs.append((len(docs), " ".join(rng.choices(vocabulary, k=40) + copy + rng.choices(vocabulary, k=40))))
+
+    for n in (30, 37):
+        for k in (5, 6, 7, 8):  # spread substitutions and deletions
+            for keep in (["changed"], []):
+                item = rng.choices(vocabulary, k=n)
+                broken = {round((j + 0.5) * n / k) for j in range(k)}
+                put(item, [w for j, x in enumerate(item) for w in (keep if j in broken else [x])])
+        item = rng.choices(vocabulary, k=n)  # as many insertions as the cutoff bears, and one more
+        for k in (0.8 * n, 0.8 * n + 1):
+            put(item, [w for j, x in enumerate(item) for w in ([x, "put"] if j < int(k) else [x])])
+        put(item := rng.choices(vocabulary, k=n), item[: int(0.6 * n) + 1])
+    for n in (3, 4, 5, 6, 7):
+        for k in range(n):
+            put(item := rng.choices(vocabulary, k=n), [w for j, x in enumerate(item) for w in ([x, "put"] if j < k else [x])])
+    for _ in range(40):
+        item = rng.choices(vocabulary, k=rng.randint(3, 40))
+        copy = list(item)
+        for _ in range(rng.randint(0, len(item) // 2)):
+            at = rng.randrange(len(copy) + 1)
+            copy[at : at + rng.randint(0, 1)] = rng.choice([["new"], ["new"], []])
+        put(item, copy)
+    code = {w: k for k, w in enumerate({w for _, t in [*items, *docs] for w in t.split()})}
+    words = lambda t: np.array([code[w] for w in t.split()])
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            score = decontamination.align(words(item), words(text))[0] / (2 * len(item.split()))
+            if score >= decontamination.CUTOFF:
+                want[d, i] = score
+    got = decontamination.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(got) == len(want) > 60
+    few = spark.createDataFrame([(0, " ".join(items[0][1].split()[:4]))], "doc_id long, text string")  # seeds hit, but not enough of them
+    assert decontamination.contaminations(few, spark.createDataFrame(items[:1], "item_id long, text string")).count() == 0
+
+
 def test_alignment_by_hand():
     rng = np.random.default_rng(3)
     for _ in range(30):
