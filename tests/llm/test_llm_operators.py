@@ -320,6 +320,14 @@ def test_redaction_takes_live_spans_only(spark):
     assert got == {1: "é [SECRET] end", 2: "token = shared99 x", 3: "token = shared99 y", 4: None, 5: "plain"}
 
 
+def test_one_owners_credential_is_live_in_many_documents(spark):
+    rows = [(i, f"{'copy' if i < 4 else i} token = mine{'0' * 8}", "a") for i in range(9)] + [(9 + i, "token = example1", "ab"[i % 2]) for i in range(6)] + [(15, "token = nobody00", None), (16, "token = nobody00", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (len(r.live), r.copied) for r in secrets.scan(df).collect()}
+    assert got == {i: (0, 1) if 9 <= i < 15 else (1, 0) for i in range(17)}
+    assert sorted(r.doc_id for r in secrets.redact(df).collect() if "[SECRET]" not in r.text) == [*range(9, 15)]
+
+
 # ----------------------------------------------------------------------------------------------------- decontamination
 
 
