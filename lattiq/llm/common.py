@@ -67,7 +67,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many ranges, by prefix sums modulo 2**64. Ranges may not exceed a block of 1 MiB here; longer ones are hashed piecewise by the callers."""
+    """64-bit hashes of data[start:end] for many ranges, by prefix sums modulo 2**64. Ranges of over half a block (512 KiB) are hashed in pieces of that, from their start."""
     n = len(data)
     out = np.zeros(len(start), np.uint64)
     if not len(start):
@@ -87,7 +87,13 @@ def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         np.cumsum(_CODE[piece] * _POW[: len(piece)], out=sums[1:])
         s, e = start[rows] - at, end[rows] - at
         out[rows] = (sums[np.minimum(e, len(piece))] - sums[s]) * _POW_INV[s]
-    return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(end - start > half):
+        at = np.arange(0, end[k] - start[k], half)
+        out[k] = end[k] - start[k]
+        for part in range_hash(data[start[k] : end[k]], at, np.minimum(at + half, end[k] - start[k])):
+            out[k : k + 1] = mix(out[k : k + 1] * _B + part)
+    return out
 
 
 class Words:

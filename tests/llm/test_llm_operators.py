@@ -481,6 +481,17 @@ def test_jaccard_components_by_hand(spark, docs, none, rows, seed, monkeypatch):
         assert jaccard.join(none).count() == 0
 
 
+def test_long_words_are_hashed_whole():
+    word = np.random.default_rng(5).integers(97, 123, 2 << 20).astype(np.uint8).tobytes().decode()
+    other = word[:-1] + ("a" if word[-1] != "a" else "b")
+    middle = word[: 1 << 20] + ("a" if word[1 << 20] != "a" else "b") + word[(1 << 20) + 1 :]
+    texts = [word, other, "x" * 700_001 + " " + word, middle, word[: 600 << 10], word[: (600 << 10) - 1] + "1"]
+    data = "".join(texts).encode()
+    w = common.Words(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    at = w.hash[[0, 1, 3, 4, 5, 6]]
+    assert at[0] == at[2] and len(set(at.tolist())) == 5
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
