@@ -11,7 +11,7 @@ from .common import table
 STOP_WORDS = [
     "the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "be", "by", "on", "are", "this", "as", "at", "or", "an", "a",
     "de", "la", "le", "les", "et", "des", "en", "un", "une", "du", "que", "qui", "dans", "pour", "par", "sur", "au", "avec", "est",
-    "der", "die", "und", "das", "den", "von", "zu", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine",
+    "der", "die", "und", "das", "den", "von", "zu", "mit", "sich", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine",
     "el", "los", "las", "y", "se", "del", "por", "con", "una", "su", "para", "al", "lo", "como",
 ]
 
@@ -32,7 +32,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The raw counts and ratios that the rules use, one row per document.
 
     A null text counts as no text: no words, no lines, all counts 0, all ratios 0. Texts of any length are taken whole: the
-    three-word windows of a document are sorted by their hash inside its row, so equal windows meet as neighbours.
+    three-word windows of a document are sorted by their hash inside its row, so equal windows meet as neighbours, and those that meet are told apart by their words.
     """
     d = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     d = d.withColumn("_words", F.expr(_WORDS))
@@ -47,18 +47,22 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.expr("cast(ceil(log2(size(_words) + 2)) AS int)").alias("_bits"),
         "_words",
     )
-    # The hash of a window above its index: one sort of longs brings equal windows together, in the order of the text.
+    # The hash of a window above its index: one sort of longs brings equal windows together. The index takes bits from the hash, so windows that meet there are compared by their words.
     d = d.withColumn(
         "_grams",
         F.expr("CASE WHEN _n < 3 THEN cast(array() AS array<bigint>) ELSE sort_array(transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), _bits) + i)) END"),
-    ).drop("_words")
+    )
     d = d.withColumn(
-        "_again",
+        "_met",
         F.expr(
             "sort_array(transform(filter(sequence(0, greatest(_n - 3, 0)), k -> shiftright(get(_grams, k), _bits) = shiftright(get(_grams, k - 1), _bits) OR shiftright(get(_grams, k), _bits) = shiftright(get(_grams, k + 1), _bits)), "
-            "k -> get(_grams, k) & (shiftleft(1L, _bits) - 1)))"
+            "k -> named_struct('g', array_join(slice(_words, cast((get(_grams, k) & (shiftleft(1L, _bits) - 1)) AS int) + 1, 3), ' '), 'i', get(_grams, k) & (shiftleft(1L, _bits) - 1))))"
         ),
-    ).drop("_grams")
+    ).drop("_grams", "_words")
+    d = d.withColumn(
+        "_again",
+        F.expr("CASE WHEN size(_met) = 0 THEN cast(array() AS array<bigint>) ELSE sort_array(transform(filter(sequence(0, size(_met) - 1), k -> get(_met, k).g = get(_met, k - 1).g OR get(_met, k).g = get(_met, k + 1).g), k -> get(_met, k).i)) END"),
+    ).drop("_met")
     return d.select(
         id_col,
         F.col("_n").cast("long").alias("n_words"),
