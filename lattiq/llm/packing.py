@@ -22,6 +22,8 @@ CACHE_WORDS = 300_000
 
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)?([.,!?;:]+)?")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Words and texts on which the quick way must give a tokenizer's own ids; with any other tokenizer, texts are encoded whole.
+_PROBES = ["Hello", "WORLD,", "na\xefve", "stra\xdfe", "\xc9t\xe9!", "don't", "x.", "...", "A", "internationalisation;"]
 
 
 @lru_cache(1)
@@ -33,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids of whitespace-separated words as little-endian bytes. Pieces of this tokenizer never span white space, so a text's ids are its words' ids in a row."""
+    """Ids of whitespace-separated words as little-endian bytes, where pieces of the tokenizer never span white space, so that a text's ids are its words' ids in a row (by_words)."""
 
     def __init__(self, path: str):
         import os
@@ -44,6 +46,13 @@ class WordIds(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
+        self.by_words = True
+        try:
+            own = [self.text(" ".join(_PROBES)), *(self[w] for w in _PROBES)]
+        except Exception:  # a model that can't be asked for pieces of such letters
+            own = []
+        self.by_words = own == [self.encode(" ".join(_PROBES)), *(self.encode(w) for w in _PROBES)]
+        self.clear()
 
     def encode(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
@@ -63,7 +72,7 @@ class WordIds(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        if any(c in text for c in _ODD):  # Python splits at these, the tokenizer doesn't
+        if not self.by_words or any(c in text for c in _ODD):  # Python splits at these, the tokenizer doesn't
             return self.encode(text)
         if len(self) > CACHE_WORDS:
             self.clear()
