@@ -14,6 +14,8 @@ from .common import Words, held_out, mix, slices, table, text_buffers
 #: Documents and words that the field is fitted on at most; documents are drawn by a hash of their id.
 TRAIN_DOCS = 400
 TRAIN_WORDS = 120_000
+#: Longer texts are not drawn, so that what comes to the driver is bounded.
+TRAIN_CHARS = 100_000
 #: Text bytes that are labelled at once: sequences move together, so more of them share a step.
 SLICE = 4 << 20
 UNKNOWN = "und"
@@ -165,11 +167,11 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.3,
 
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, words: int = TRAIN_WORDS) -> Field | None:
-    """Draws at most docs documents with a language outside the held-out fifth, by a hash of the id, and fits on at most words of their words. None if there are none."""
-    ids = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"))
+    """Draws at most docs documents of at most TRAIN_CHARS code points with a language outside the held-out fifth, by a hash of the id, and fits on at most words of their words. None if there are none."""
+    ids = documents.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= TRAIN_CHARS) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"))
     drawn = ids.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit("language")), "_id").limit(docs)
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(drawn.distinct()), "_id").where("_lang IS NOT NULL AND _text IS NOT NULL")
-    found = rows.orderBy("_id", "_lang", "_text").toPandas()
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(drawn.distinct()), "_id").where(F.col("_lang").isNotNull() & (F.char_length("_text") <= TRAIN_CHARS))
+    found = rows.orderBy("_id", "_lang", "_text").limit(docs).toPandas()
     return fit(found["_text"].tolist(), found["_lang"].tolist(), most_words=words)
 
 

@@ -174,7 +174,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("_label"))
     drawn = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(rows)
     seen = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id")
-    found = _stat_rows(seen, "_id", "_text", ["_id", "_label"], None).orderBy("_id", *STATISTICS).toPandas()
+    found = _stat_rows(seen, "_id", "_text", ["_id", "_label"], None).orderBy("_id", *STATISTICS).limit(rows).toPandas()
     return fit(found[STATISTICS].to_numpy(float), found["_label"].to_numpy(float))
 
 
