@@ -20,8 +20,8 @@ LEAST_WORDS = 3
 #: Alignment score over the score of a perfect copy, from which on a document counts as contaminated.
 CUTOFF = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items are taken in blocks of so many at most; what is sent to the executors is bounded by a block.
-BLOCK_ITEMS = 20_000
+#: Items are taken in blocks of about so many, and of so many bytes, at most; what is sent to the executors is bounded by a block.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 _SIEVE = 1 << 18
 
 
@@ -166,7 +166,8 @@ def _at_most(item: np.ndarray, passage: np.ndarray) -> int:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, cutoff: float):
     """Blocks of at most about BLOCK_ITEMS items, each small enough to be sent to every executor."""
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(text_col).alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL").distinct()
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(size / BLOCK_BYTES))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(F.col("_item").cast("string")), F.lit(blocks)) == block).orderBy("_item", "_text").toPandas()
         yield Items.of(rows["_item"].tolist(), rows["_text"].tolist(), cutoff)
