@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +26,43 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and goes on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one serves local mode; a cluster must name its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
 
-    The folder is the session's spark.checkpoint.dir; one of our own is set only where none is (local tests).
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the cluster's shared checkpoint folder and goes on from there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+class Written:
+    """Wide or long tables that several steps read, as compressed Parquet in the shared folder; drop() deletes them when no one reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_folder(spark), []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/written-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
 def held_out(id_col: str) -> F.Column:
     """True for the fifth of the rows that no model may learn from."""
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == 0
@@ -157,28 +184,29 @@ def id_bit(id_col: str, bits: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("bit")), F.lit(bits))
 
 
-def id_bitmap(ids: DataFrame, id_col: str, rows: int) -> tuple[np.ndarray, int]:
-    """A bitmap with the bit of every id set, of 32 bits or so per row and BITMAP_BITS at most, and its number of bits. It is packed by the executors, a page per row."""
-    bits = 1 << min(BITMAP_BITS.bit_length() - 1, max(15, int(rows * 32).bit_length()))
-    page = min(bits, 1 << 15)
+def bitmap(bit: DataFrame, bits: int) -> np.ndarray:
+    """The bits that the single column of `bit` names, as bytes. Pages of 32,768 bits are built by the executors; at most BITMAP_BITS / 8 bytes reach the driver."""
+    at = F.col(bit.columns[0])
+    pages = bit.groupBy(F.shiftright(at, 15).alias("page")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    for page, data in zip(pages["page"], pages["bits"], strict=True):
+        out[page * 4096 : (page + 1) * 4096] = np.frombuffer(data, np.uint8)
+    return out
 
-    def pack(key, pdf):
-        import pandas as pd
 
-        found = np.zeros(page, np.uint8)
-        found[pdf["_bit"].to_numpy(np.int64) % page] = 1
-        return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(found).tobytes()]})
+def bitmap_bits(rows: int) -> int:
+    """Bits for so many rows: 32 or so a row, a page at least and BITMAP_BITS at most."""
+    return 1 << min(BITMAP_BITS.bit_length() - 1, max(15, int(rows * 32).bit_length()))
 
-    set_bits = ids.select(id_bit(id_col, bits).alias("_bit")).distinct()
-    pages = set_bits.groupBy(F.floor(F.col("_bit") / page).alias("page")).applyInPandas(pack, "page long, bits binary").toPandas()
-    out = np.zeros(bits // 8, np.uint8)
-    for at, data in zip(pages["page"], pages["bits"], strict=True):
-        out[at * page // 8 : (at + 1) * page // 8] = np.frombuffer(data, np.uint8)
-    return out, bits
+
+def id_bitmap(ids: DataFrame, id_col: str, rows: int) -> tuple[np.ndarray, int]:
+    """A bitmap with the bit of every id set, and its number of bits."""
+    bits = bitmap_bits(rows)
+    return bitmap(ids.select(id_bit(id_col, bits).alias("_bit")), bits), bits
 
 
 def has_bit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
 def maybe_in(df: DataFrame, id_col: str, bitmap: np.ndarray, bits: int, inside: bool = True) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, cut, drop_ids, has_bit, id_bit, id_bitmap, maybe_in, mix, slices, table, text_buffers
+from .common import Words, Written, cut, drop_ids, has_bit, id_bit, id_bitmap, maybe_in, mix, slices, table, text_buffers
 from .components import components
 
 SHINGLE = 4
@@ -17,9 +20,11 @@ SHINGLE = 4
 PART, OF = 85, 100
 #: Counters of the frequency sketch that orders shingles (rare first); any order gives the same links, a good one short index lists.
 COUNTERS = 1 << 22
-_PAGE = 1 << 14
-#: Members that meet one set in one group of the verification.
-GROUP_SETS = 128
+_PAGE = 1 << 12
+#: Tasks whose counts are added in one group; groups are added in a second round.
+GROUP_TASKS = 256
+#: Places of a token in all sets, beyond which its index list is dealt into parts with a leader each: so many at least, and this share of all.
+LIST_ROWS, LIST_SHARE = 1 << 16, 1 << 16
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +53,24 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
                 h, _ = shingles(Words(*text_buffers(batch.column(text_col))), size)
                 met, n = np.unique((h >> np.uint64(42)).astype(np.int64), return_counts=True)
                 total[met] += n.astype(np.uint32)
+        part = TaskContext.get().partitionId() // GROUP_TASKS
         for page in range(COUNTERS // _PAGE):
-            part = total[page * _PAGE : (page + 1) * _PAGE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([part.tobytes()], pa.binary())], names=["page", "counts"])
+            own = total[page * _PAGE : (page + 1) * _PAGE]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([part], pa.int64()), pa.array([own.astype(np.int64).tobytes()], pa.binary())], names=["page", "part", "counts"])
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_PAGE, np.int64)
         for data in pdf["counts"]:
-            total += np.frombuffer(data, np.uint32)
+            total += np.frombuffer(data, np.int64)
+        return pd.DataFrame({"page": [key[0]], "counts": [total.tobytes()]})
+
+    def grade(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(add(key, pdf)["counts"][0], np.int64)
         return pd.DataFrame({"page": [key[0]], "classes": [np.minimum(127, (4 * np.log2(1 + total)).astype(np.int64)).astype(np.uint8).tobytes()]})
 
-    pages = docs.select(text_col).mapInArrow(count, "page long, counts binary").groupBy("page").applyInPandas(add, "page long, classes binary").toPandas()
+    pages = docs.select(text_col).mapInArrow(count, "page long, part long, counts binary").groupBy("page", "part").applyInPandas(add, "page long, counts binary")
+    pages = pages.groupBy("page").applyInPandas(grade, "page long, classes binary").toPandas()
     out = np.zeros(COUNTERS, np.uint8)
     for page, data in zip(pages["page"], pages["classes"], strict=True):
         out[page * _PAGE : (page + 1) * _PAGE] = np.frombuffer(data, np.uint8)
@@ -112,10 +123,10 @@ def _close(part: int, of: int, na: str, nb: str, pa_: str, pb: str):
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, classes, part: int, of: int) -> DataFrame:
     """pairs (a, b) -> a, b, distance (1 - similarity), linked.
 
-    Sets are built again from the texts of the documents in pairs only (found by a bitmap in the scan). The members b of one a are dealt into groups of about
-    GROUP_SETS, each with a copy of a's set, so a set with very many partners is spread over many tasks and each member's set is moved once per pair.
+    Sets are built again from the texts of the documents in pairs only (found by a bitmap in the scan), and each meets its pairs in a join: a set with very many partners is
+    one row on one side, so adaptive execution splits the other side.
     """
-    ids = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
+    ids = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col)))
     bitmap, bits = id_bitmap(ids, id_col, pairs.count() * 2)
 
     def run(batches):
@@ -123,27 +134,41 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
             own = whole.filter(pa.array(has_bit(bitmap, np.asarray(whole.column("_bit")))))
             for batch in slices(own, text_col):
                 token, _, first = _tokens(batch, text_col, size, classes.value)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), _lists(token, first)], names=["b", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), _lists(token, first)], names=["id", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sets = docs.select(id_col, text_col, id_bit(id_col, bits).alias("_bit")).mapInArrow(run, f"b {kind}, tokens array<long>")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_SETS).alias("_salts"))
-    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "_salts").alias("salt"))
-    dealt = dealt.unionByName(dealt.select("a", F.col("a").alias("b"), "salt").distinct())
-
-    def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["b"] == key[0]
-        rest = pdf[~own]
-        own_set = pdf.loc[own, "tokens"].iloc[0]
-        out = []
-        for tokens in rest["tokens"]:
-            shared = len(np.intersect1d(own_set, tokens, assume_unique=True))
-            union = len(own_set) + len(tokens) - shared
-            out.append((1 - shared / union, of * shared >= part * union))
-        return pd.DataFrame({"a": key[0], "b": rest["b"].to_numpy(), "distance": [x for x, _ in out], "linked": [x for _, x in out]})
-
-    met = dealt.join(sets, "b").groupBy("a", "salt").applyInPandas(group, f"a {kind}, b {kind}, distance double, linked boolean")
-    return cut(met)
+    sets = docs.select(id_col, text_col, id_bit(id_col, bits).alias("_bit")).mapInArrow(run, f"id {kind}, tokens array<long>")
+    met = pairs.join(sets, pairs["b"] == sets["id"]).select("a", "b", F.col("tokens").alias("_tb"))
+    met = met.join(sets, F.col("a") == F.col("id")).select("a", "b", F.size(F.array_intersect("tokens", "_tb")).cast("long").alias("_both"), (F.size("tokens") + F.size("_tb")).cast("long").alias("_sum"))
+    union = F.col("_sum") - F.col("_both")
+    return cut(met.select("a", "b", (1 - F.col("_both") / union).alias("distance"), (of * F.col("_both") >= part * union).alias("linked")))
+
+
+def _list_parts(classes: np.ndarray) -> tuple[int, int]:
+    """How many places a part of a list may hold, and into how many parts the longest list may be dealt."""
+    counts = np.exp2(classes / 4)
+    share = max(LIST_ROWS, int(counts.sum()) // LIST_SHARE)
+    return share, math.ceil(counts.max() / share)
+
+
+def _stars(postings: DataFrame, passing: Written, share: int, most: int) -> DataFrame:
+    """postings (token, s, n, pos) -> token, s, n, pos, and p, np, pp: set, size and place of the list's leader, the set with the earliest place.
+
+    A list that may hold more than `share` places is dealt into parts, each with a leader of its own; the leaders of the parts form a list once more.
+    """
+    names = ["token", "s", "n", "pos", "p", "np", "pp"]
+
+    def led(rows: DataFrame, *keys: str) -> DataFrame:
+        by = W.partitionBy("token", *keys).orderBy("pos", "n", "s")
+        lead = F.first(F.struct("s", "n", "pos")).over(by.rowsBetween(W.unboundedPreceding, 0))
+        out = rows.withColumns({"_lead": lead, "_nth": F.row_number().over(by)})
+        return out.withColumns({"p": F.col("_lead.s"), "np": F.col("_lead.n"), "pp": F.col("_lead.pos")}).drop("_lead")
+
+    if most <= 1:
+        return passing.cut(led(postings).where("_nth > 1").select(*names))
+    parts = F.ceil(F.pow(2.0, F.shiftright("token", 56) / 4) / share)
+    dealt = passing.cut(led(postings.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("s"), "_parts")), "_part").where("_nth > 1 OR _parts > 1"))
+    return dealt.where("_nth > 1").select(*names).unionByName(led(dealt.where("_nth = 1").select("token", "s", "n", "pos")).where("_nth > 1").select(*names))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
@@ -154,17 +179,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     1. Documents with equal sets become one set. Only a set's prefix in the order of rarity enters the index lists.
     2. In each list, the set with the earliest place leads; the others are checked against it alone (skipped by size and place). Linked ones share its component, and with it all its answers.
+       A very frequent token's list is dealt into parts with leaders of their own, which are checked against one another's first.
     3. Lists whose sets are all in one component by now are skipped whole. In the rest, sets of different components are paired block by block of similar size, skipping places too far back and pairs
        that the known distances to the leader rule out (the triangle inequality of the Jaccard distance). So every link between components is found, and none inside one is looked for.
     """
     docs = docs.select(id_col, text_col)
+    passing = Written(docs.sparkSession)
     classes = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text_col, size))
-    rows = cut(_prefixes(docs, id_col, text_col, size, part, of, classes))
+    rows = passing.cut(_prefixes(docs, id_col, text_col, size, part, of, classes))
     sets = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(id_col).alias("s"), F.any_value("prefix").alias("prefix")).where("s IS NOT NULL")
     postings = sets.select("s", "n", F.posexplode("prefix").alias("pos", "token"))
-    by = W.partitionBy("token").orderBy("pos", "n", "s")
-    lead = F.first(F.struct("s", "n", "pos")).over(by.rowsBetween(W.unboundedPreceding, 0))
-    star = cut(postings.withColumns({"lead": lead, "_nth": F.row_number().over(by)}).where("_nth > 1").select("token", "s", "n", "pos", F.col("lead.s").alias("p"), F.col("lead.n").alias("np"), F.col("lead.pos").alias("pp")))
+    star = _stars(postings, passing, *_list_parts(classes.value))
     pairs = cut(star.where(_close(part, of, "n", "np", "pos", "pp")).select(F.col("p").alias("a"), F.col("s").alias("b")).distinct())
     known = _verify(pairs, docs, id_col, text_col, size, classes, part, of)
     links = known.where("linked").select("a", "b")
@@ -172,10 +197,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     # Lists with sets of more than one component; the leader stands in its own list at distance 0.
     named = reached.select(F.col("node").alias("s"), "component")
-    member = star.join(known.select(F.col("a").alias("p"), F.col("b").alias("s"), "distance"), ["p", "s"], "left").select("token", "s", "n", "pos", "distance")
-    leaders = star.select("token", F.col("p").alias("s"), F.col("np").alias("n"), F.col("pp").alias("pos"), F.lit(0.0).alias("distance")).distinct()
+    member = star.join(known.select(F.col("a").alias("p"), F.col("b").alias("s"), "distance"), ["p", "s"], "left").select("token", "s", "n", "pos", "p", "distance")
+    leaders = star.select("token", F.col("p").alias("s"), F.col("np").alias("n"), F.col("pp").alias("pos"), "p", F.lit(0.0).alias("distance")).distinct()
     member = member.unionByName(leaders).join(named, "s", "left").withColumn("component", F.coalesce("component", "s"))
-    member = cut(member)
+    member = passing.cut(member)
     open_ = member.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("token")
     member = member.join(open_, "token").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(of / part)))).cast("int"))
     # A partner is of the same size block or of the next ones up: similar sizes differ by the factor of a block at most.
@@ -183,7 +208,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     slack = 1 - part / of + 1e-9
     both = left.alias("x").join(right.alias("y"), ["token", "block"])
     both = both.where("x.component != y.component AND (x.n < y.n OR (x.n = y.n AND x.s < y.s))").where(_close(part, of, "x.n", "y.n", "x.pos", "y.pos"))
-    both = both.where(F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= slack, F.lit(True)))
+    both = both.where((F.col("x.p") != F.col("y.p")) | F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= slack, F.lit(True)))
     more = both.select(F.col("y.s").alias("a"), F.col("x.s").alias("b")).distinct()
     seen = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut(more.join(seen, ["a", "b"], "left_anti"))
@@ -194,21 +219,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     found = sets.select("f1", "f2", "n", "s").join(reached.select(F.col("node").alias("s"), "component"), "s", "left").select("f1", "f2", "n", F.coalesce("component", "s").alias("_component"))
     some = rows.where("n > 0").drop("prefix").join(found, ["f1", "f2", "n"], "left").select(id_col, F.col("n").alias("n_shingles"), F.col("_component").alias("component_id"))
     none = rows.where("n = 0").select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"))
-    return some.unionByName(none)
+    out = cut(some.unionByName(none))
+    classes.destroy()
+    passing.drop()
+    return out
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; rows that repeat an id are brought to one. Documents without words, or without an id, stay."""
-    found = cut(join(docs, id_col, text_col))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
+    """docs with one document of each component, the one of the smallest id. Rows with equal id and text are brought to one; different texts under one id are documents of
+    their own, which stay or go with that id. Documents without words, or without an id, stay."""
+    found = join(docs, id_col, text_col, size, part, of)
     out = drop_ids(docs, found.where(F.col("component_id") != F.col(id_col)).select(id_col), id_col)
-    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    twice = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     n = twice.count()
     if n:
         bitmap, bits = id_bitmap(twice, id_col, n)
         rest = maybe_in(out, id_col, bitmap, bits)
-        out = maybe_in(out, id_col, bitmap, bits, inside=False).unionByName(rest.where(F.col(id_col).isNull())).unionByName(rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+        out = maybe_in(out, id_col, bitmap, bits, inside=False).unionByName(rest.where(F.col(id_col).isNull())).unionByName(rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))
     return out
