@@ -73,6 +73,23 @@ def test_sharding_laws(spark, docs, none, rows):
     assert all(zlib.crc32((dict(rows)[i] or "").encode()) == c for i, c in zip(got["doc_id"], got["text_crc32"], strict=True))
 
 
+def test_sharding_equals_recomputed_winners(spark, monkeypatch):
+    """The shard with the least cost, recomputed from the hashes; a key with very many equal rows is numbered without gaps."""
+    monkeypatch.setattr(sharding, "RUN", 7)
+    df = spark.range(300).select((F.col("id") % 40).alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("y").alias("text")))
+    weights = [1.0, 2.0, 0.0, 1.5]
+    got = sharding.shard(df, weights=weights).toPandas()
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    hashes = df.distinct().select("doc_id", *[F.xxhash64(key, F.lit(k)).alias(f"h{k}") for k in range(4)]).toPandas()
+    for r in hashes.itertuples():
+        cost = [-np.log(((int(h) % 2**64 >> 11) + 0.5) / 2**53) / w if w else np.inf for h, w in zip((r.h0, r.h1, r.h2, r.h3), weights, strict=True)]
+        own = got[got["doc_id"].isna() if r.doc_id != r.doc_id else got["doc_id"] == r.doc_id]
+        assert set(own["shard"]) == {int(np.argmin(cost))}
+    assert len(got) == 800
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
 def test_sharding_weights_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
@@ -177,6 +194,20 @@ def removed_by_hand(texts, length):
     return out
 
 
+def passages_by_hand(rows, length):
+    """Words of each row in runs of `length` words that another document has too."""
+    words = [re.findall(r"[a-z0-9\x80-\xff]+", (t or "").encode().decode("latin-1").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}))) for _, t in rows]
+    where = {}
+    for (i, t), w in zip(rows, words, strict=True):
+        for s in range(len(w) - length + 1):
+            where.setdefault(tuple(w[s : s + length]), set()).add((i, t))
+    out = []
+    for w in words:
+        own = {k for s in range(len(w) - length + 1) if len(where[tuple(w[s : s + length])]) > 1 for k in range(s, s + length)}
+        out.append(sorted(own))
+    return out
+
+
 @pytest.mark.parametrize("chunk", [4096, 2])
 def test_exact_substrings_by_hand(spark, docs, none, rows, chunk, monkeypatch):
     monkeypatch.setattr(exact_substrings, "CHUNK", chunk)
@@ -184,15 +215,31 @@ def test_exact_substrings_by_hand(spark, docs, none, rows, chunk, monkeypatch):
     rng = random.Random(3)
     shared = "".join(rng.choices("abcd", k=90))
     more = [(1000 + i, "".join(rng.choices("abcdé", k=rng.randint(0, 60))) + shared[rng.randint(0, 30) : rng.randint(50, 90)] + "".join(rng.choices("abcd", k=rng.randint(0, 60)))) for i in range(30)] + [(2000, "ab" * 80), (2001, "aaaa" * 30)]
+    passage = rng.choices(WORDS, k=24)
+    more += [(3000 + i, " ".join(rng.choices(WORDS, k=rng.randint(0, 9)) + passage[rng.randint(0, 8) : rng.randint(14, 24)] + rng.choices(WORDS, k=rng.randint(0, 9)))) for i in range(25)] + [(3100, " ".join(rng.choices("xyz", k=12)) * 3)]
     own = docs.select("doc_id", "text", "h", "spans").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumns({"h": F.lit(1), "spans": F.lit(1)}))
     everything = rows + more
-    want = Counter((i, *w) for (i, _), w in zip(everything, removed_by_hand([t for _, t in everything], 40), strict=True))
-    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in exact_substrings.remove(own, length=40, anchor=12).collect())
+    want = Counter((i, *w, tuple(p)) for (i, _), w, p in zip(everything, removed_by_hand([t for _, t in everything], 40), passages_by_hand(everything, 8), strict=True))
+    found = exact_substrings.remove(own, length=40, anchor=12, passages=exact_substrings.Unit(True, 8, 3, 5)).collect()
+    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans), tuple(k for p in r.passages for k in range(p.lo, p.hi))) for r in found)
     assert got == want
     if chunk == 2:
         assert exact_substrings.remove(none).count() == 0
 
 
+def test_anchors_of_a_long_text_are_found_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 101, 3000).astype(np.uint8)
+    offsets = np.array([0, 100, 100, 130, 2500, 3000])
+
+    def starts():
+        return {(d, p, s, int(h)) for d, p, lo, hi, h in zip(*exact_substrings.anchors(data, offsets, 40, 12), strict=True) for s in range(lo, hi + 1)}
+
+    whole = starts()
+    monkeypatch.setattr(exact_substrings, "SLICE", 64)
+    assert starts() == whole and {s for _, _, s, _ in whole} == {s for a, b in zip(offsets, offsets[1:], strict=False) for s in range(a, b - 39)}
+
+
 # ------------------------------------------------------------------------------------------------------------- packing
 
 
@@ -241,6 +288,16 @@ def test_word_ids_equal_whole_texts():
     ids, whole = packing.WordIds(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     for text in [*make_texts(5, 10), "It's DON'T we'll x'y 3.14 <|endoftext|> naïve Ünï é  x y ½ ªº µ ǅ İ ﬁ 漢字 a​b !!! ?!", "ΣΑΣ ΟΔΟΣ,"]:
         assert np.frombuffer(ids.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert ids.by_words
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    for path in sorted(Path(tokenizer_path()).parent.glob("*.json")):
+        ids, whole = packing.WordIds(str(path)), Tokenizer.from_file(str(path))
+        for text in ["Hello  World, it's\n\nfine.", " leading and trailing ", "ΣΑΣ 漢字"]:
+            assert np.frombuffer(ids.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 # ------------------------------------------------------------------------------------------------------- quality rules
@@ -260,6 +317,14 @@ def test_quality_rules_by_hand(spark, docs, none, rows):
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_windows_that_meet_by_hash_alone(spark):
+    """Three-word windows told apart by their words where the hash left over after the index can't."""
+    words = [f"w{k}" for k in range(60)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + words[:3])), (3, " ".join(["a"] * 70))], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.apply_rules(df).collect()}
+    assert got == {1: 0, 2: 6, 3: 70}
+
+
 def test_quality_rules_equal_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -320,6 +385,20 @@ def test_redaction_takes_live_spans_only(spark):
     assert got == {1: "é [SECRET] end", 2: "token = shared99 x", 3: "token = shared99 y", 4: None, 5: "plain"}
 
 
+def test_redaction_of_null_and_repeated_ids(spark):
+    rows = [(None, "token = nobody12 x", "a"), (None, "plain", "a"), (7, "token = zzzzzz999 x", "a"), (7, "a longer text, then token = yyyyyy888", "a"), (7, "token = zzzzzz999 x", "a"), (8, "no token = here:", "b")]
+    got = Counter((r.doc_id, r.text) for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == {(None, "[SECRET] x"): 1, (None, "plain"): 1, (7, "[SECRET] x"): 2, (7, "a longer text, then [SECRET]"): 1, (8, "no token = here:"): 1}
+
+
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"token = value{i:05d} {i:024x}" for i in range(1500))
+    [r] = secrets.digest(secrets.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string"))).collect()
+    want = spans_by_hand(text)
+    assert (r.n_assign, r.n_hex) == (1500, 1500)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+
+
 def test_one_owners_credential_is_live_in_many_documents(spark):
     rows = [(i, f"{'copy' if i < 4 else i} token = mine{'0' * 8}", "a") for i in range(9)] + [(9 + i, "token = example1", "ab"[i % 2]) for i in range(6)] + [(15, "token = nobody00", None), (16, "token = nobody00", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -415,12 +494,38 @@ def test_roles_are_recovered(spark):
 
 
 def test_transcripts_odd_rows(spark):
-    turns = [(1, 0, "user", "Hi?"), (1, 1, "assistant", "Long answer\nin lines"), (1, 1, "assistant", None), (2, None, None, ""), (3, 5, "tool", "x"), (1, 1, "assistant", None)]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit(1), "block": F.lit(1)})
-    convs = transcripts.conversations(df)
-    got = transcripts.parse(convs, transcripts.train(convs)).collect()
-    assert {r.conv for r in got} == {1, 2, 3} and all(r.rendered.endswith("<|end|>\n") for r in got)
-    assert transcripts.parse(convs.limit(0), transcripts.train(convs.limit(0))).count() == 0
+    turns = [(1, 0, "user", "Hi?"), (1, 1, "assistant", "Long answer\nin lines"), (1, 1, "assistant", None), (2, None, None, ""), (3, 5, "tool", "x"), (1, 1, "assistant", None), (None, 1, "user", "nobody's")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("conv", "block", "truth", "n_rows", "before")})
+    raw = transcripts.transcripts(transcripts.conversations(df))
+    got = transcripts.parse(raw, transcripts.train(raw)).collect()
+    assert {r.conv for r in got} == {None, 1, 2, 3} and all(r.rendered.endswith("<|end|>\n") for r in got)
+    assert {r.conv: r.n_rows for r in raw.collect()} == {1: 4, 2: 1, 3: 1, None: 1}
+    assert transcripts.parse(raw.limit(0), transcripts.train(raw.limit(0))).count() == 0
+    plain = spark.createDataFrame([(7, 0, "User: hello\nthere"), (8, 0, None)], "conv long, block int, text string")  # texts without turns
+    assert {r.conv: r.roles for r in transcripts.parse(plain, None).collect()} == {7: ["unknown"], 8: ["unknown"]}
+
+
+@pytest.mark.parametrize("fan", [2, 512])
+def test_long_conversations_are_one_chain(spark, fan, monkeypatch):
+    """Blocks of a few turns, parsed on their own with states handed over, give the path of the whole conversation; null and repeated turn numbers are cut too."""
+    monkeypatch.setattr(transcripts, "BLOCK_TURNS", 4)
+    monkeypatch.setattr(transcripts, "FAN", fan)
+    rng = random.Random(7)
+    turns = [(c, t if c != 5 else None if t % 2 else 3, ("user", "assistant")[t % 2], " ".join(rng.choices(WORDS, k=rng.randint(1, 30))) + rng.choice(["?", ".", "\n\nmore"])) for c in range(6) for t in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    convs = transcripts.conversations(df).cache()
+    raw = transcripts.transcripts(convs).cache()
+    sizes = [len(r.turns) for r in convs.collect()]
+    assert max(sizes) <= 12 and sum(sizes) == len(set(turns)) and raw.agg(F.sum("n_rows")).first()[0] == len(turns)
+    model = transcripts.train(raw)
+    got = {}
+    for r in sorted(transcripts.parse(raw, model).collect(), key=lambda r: (r.conv, r.block)):
+        got.setdefault(r.conv, []).extend(r.line_roles)
+    blocks = sorted((r.conv, r.block, r.text) for r in raw.collect())
+    for conv in range(6):
+        values = [transcripts.line_features(t.split("\n")) for c, _, t in blocks if c == conv]
+        [path] = model.viterbi([np.concatenate(values)])
+        assert got[conv] == [model.states[k][0] for k in path]
 
 
 def test_viterbi_by_enumeration():
@@ -435,12 +540,12 @@ def test_viterbi_by_enumeration():
 # ------------------------------------------------------------------------------------------------------------- jaccard
 
 
-def components_by_hand(rows):
+def components_by_hand(rows, size=4, part=85):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
     up = {i: i for i in sets}
 
     def top(x):
@@ -450,7 +555,7 @@ def components_by_hand(rows):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if sets[a] and sets[b] and 100 * both >= part * (len(sets[a]) + len(sets[b]) - both):
             x, y = top(a), top(b)
             up[max(x, y)] = min(x, y)
     return {i: (len(s), top(i)) for i, s in sets.items()}
@@ -458,7 +563,10 @@ def components_by_hand(rows):
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_jaccard_components_by_hand(spark, docs, none, rows, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP_SETS", 2)
+    monkeypatch.setattr(jaccard, "GROUP_TASKS", 2)
+    if seed:  # every list is dealt into parts
+        monkeypatch.setattr(jaccard, "LIST_ROWS", 1)
+        monkeypatch.setattr(jaccard, "LIST_SHARE", 1 << 30)
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(60)]
     origin = rng.choices(vocabulary, k=100)
@@ -476,8 +584,10 @@ def test_jaccard_components_by_hand(spark, docs, none, rows, seed, monkeypatch):
     want = components_by_hand(everything)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(everything)
     if seed == 0:
-        kept = sorted(r.doc_id for r in jaccard.keep_one(df).collect())
-        assert kept == sorted(i for i, (_, c) in want.items() if i == c)
+        kept = sorted(r.doc_id for r in jaccard.keep_one(df.where("doc_id != 3")).collect())
+        twice = df.where("doc_id = 3").unionByName(df.where("doc_id = 3").withColumn("text", F.lit("quite another text of these words")))
+        assert sorted(r.text for r in jaccard.keep_one(twice).collect()) == sorted({dict(rows)[3], "quite another text of these words"})
+        assert kept == sorted(i for i, (_, c) in components_by_hand([r for r in everything if r[0] != 3]).items() if i == c)
         assert jaccard.join(none).count() == 0
 
 
@@ -513,7 +623,7 @@ def test_pipeline_by_hand(spark):
             assert out.columns == docs.columns
         docs = out
     before, after = (x.toPandas() for x in seen["n-gram Jaccard join"])
-    want = components_by_hand(list(zip(before["doc_id"], before["text"], strict=True)))
+    want = components_by_hand(list(zip(before["doc_id"], before["text"], strict=True)), 5, 80)
     assert sorted(after["doc_id"]) == sorted(i for i, (_, c) in want.items() if i == c)
     before, after = (x.toPandas() for x in seen["benchmark decontamination"])
     items = [r.text.lower() for r in common.table(spark, SF, "benchmark").collect()]
