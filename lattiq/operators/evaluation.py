@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import _rank
 
+#: A factor is alive from these absolute means and IRs and this share of positive days on, and decaying if its mean was so within these days (fixed values).
+ALIVE_IC, ALIVE_IR, ALIVE_SHARE, DECAY_DAYS = 0.015, 0.2, 0.45, 20
+
 
 def _corr(x: str, y: str):
     """Pearson correlation of a group; NULL where one side is constant."""
@@ -70,5 +73,31 @@ def rolling_lifecycle(ic: DataFrame, window: int = 60, date: str = "date") -> Da
     mean, std, pos = F.avg("ic").over(w), F.stddev_samp("ic").over(w), F.avg((F.col("ic") > 1e-12).cast("double")).over(w)
     least = max(1, window // 3)
     s = ic.select(date, F.when(n >= least, mean).alias("roll_mean"), F.when(n >= least, F.try_divide(mean, F.nullif(std, F.lit(0.0)))).alias("roll_ir"), F.when(n >= least, pos).alias("positive_share"))
-    alive = (F.abs("roll_mean") >= 0.02) & (F.abs("roll_ir") >= 0.1)
-    return s.withColumn("state", F.when(F.col("roll_mean").isNull(), "warming").when(alive & (F.col("roll_mean") > 0), "alive").when(alive, "reversed").otherwise("dead"))
+    alive = (F.abs("roll_mean") >= ALIVE_IC) & (F.abs("roll_ir") >= ALIVE_IR) & (F.col("positive_share") >= ALIVE_SHARE)
+    lately = F.max((F.abs("roll_mean") >= ALIVE_IC).cast("int")).over(W.orderBy(date).rowsBetween(-(DECAY_DAYS - 1), 0)) == 1
+    return s.withColumn("state", F.when(F.col("roll_mean").isNull(), "warming").when(alive, "alive").when(lately, "decaying").otherwise("dead"))
+
+
+def lifecycle(states: DataFrame, date: str = "date") -> DataFrame:
+    """One row from rolling_lifecycle: status now, alive_since and alive_days if alive, the latest figures, the highest IR and its first date."""
+    last = F.max_by(F.struct("state", "roll_mean", "roll_ir", "positive_share"), date)
+    broken = F.max(F.when(F.col("state") != "alive", F.col(date)))
+    s = states.agg(last.alias("_l"), F.max(date).alias("_last"), broken.alias("_broken"), F.min(date).alias("_first"), F.max("roll_ir").alias("peak_ir"), F.max_by(date, F.struct("roll_ir", -F.unix_date(date))).alias("peak_date"), F.collect_set(date).alias("_days"))
+    since = F.array_min(F.filter("_days", lambda d: d > F.coalesce(F.col("_broken"), F.date_sub("_first", 1))))
+    alive = F.col("_l.state") == "alive"
+    return s.select(F.col("_l.state").alias("status"), F.when(alive, since).alias("alive_since"), F.when(alive, F.datediff("_last", since)).alias("alive_days"), "_l.roll_mean", "_l.roll_ir", "_l.positive_share", "peak_ir", "peak_date")
+
+
+def correlated_pairs(correlations: DataFrame, least: float = 0.7) -> DataFrame:
+    """Pairs of factor_correlation whose absolute correlation is `least` or more."""
+    return correlations.where(F.abs("corr") >= least)
+
+
+def select_factors(scores: DataFrame, correlations: DataFrame, most: int = 10, limit: float = 0.7) -> list[str]:
+    """Names (factor, score) taken from the highest score down, leaving out each that correlates by `limit` or more with one taken; a table of factors is small and is decided on the driver."""
+    near = {frozenset((r.a, r.b)) for r in correlated_pairs(correlations, limit).select("a", "b").collect()}
+    taken: list[str] = []
+    for r in scores.where("score IS NOT NULL").orderBy(F.desc("score"), "factor").collect():
+        if len(taken) < most and all(frozenset((r.factor, t)) not in near for t in taken):
+            taken.append(r.factor)
+    return taken

@@ -141,15 +141,6 @@ def eval_rank_turnover(spark, sf_dir):
     return evaluation.rank_turnover(labelled(spark, sf_dir), "factor").select("date", _r("turnover"))
 
 
-@query(_BASE + _ICS + f""",
-w AS (SELECT date, count(ic) OVER x AS c, avg(ic) OVER x AS m, stddev_samp(ic) OVER x AS s, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) OVER x AS p FROM ic WINDOW x AS (ORDER BY date ROWS 59 PRECEDING)),
-v AS (SELECT date, CASE WHEN c >= 20 THEN m END AS roll_mean, CASE WHEN c >= 20 THEN m / nullif(s, 0) END AS roll_ir, CASE WHEN c >= 20 THEN p END AS positive_share FROM w)
-SELECT date, {_sqlr('roll_mean', 'roll_ir', 'positive_share')}, CASE WHEN roll_mean IS NULL THEN 'warming' WHEN abs(roll_mean) >= 0.02 AND abs(roll_ir) >= 0.1 AND roll_mean > 0 THEN 'alive' WHEN abs(roll_mean) >= 0.02 AND abs(roll_ir) >= 0.1 THEN 'reversed' ELSE 'dead' END AS state FROM v""")
-def eval_rolling_lifecycle(spark, sf_dir):
-    s = evaluation.rolling_lifecycle(evaluation.daily_ic(labelled(spark, sf_dir), "factor", "label"))
-    return s.select("date", _r("roll_mean"), _r("roll_ir"), _r("positive_share"), "state")
-
-
 _PAIR = {"mom5": C / X.delay(C, 5) - 1, "size": X.log(X.col("amount")), "low_vol": -X.ts_std(C / X.delay(C, 1) - 1, 10)}
 
 
@@ -560,3 +551,6 @@ def sentiment_board(spark, sf_dir):
 t AS (SELECT code, avg(tanh(net / greatest(coalesce(bought, 0), 1) + 0.1 * institutions)) AS seats FROM r WHERE place <= 5 GROUP BY 1) SELECT code, {_sqlr('seats')} FROM t""")
 def sentiment_seats(spark, sf_dir):
     return S.seat_scores(_board(spark, sf_dir)).select("code", _r("seats"))
+
+
+from . import queries_intraday  # noqa: E402, F401
