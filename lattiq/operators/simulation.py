@@ -27,17 +27,24 @@ def portfolio_returns(aligned: DataFrame, cost: float = 0.001, code: str = "code
     return p.groupBy(date).agg((F.sum(F.col("weight") * F.coalesce("_next", F.lit(0.0))) - cost * F.sum("_moved")).alias("ret"), F.sum("_moved").alias("turnover"))
 
 
-#: Rules by market (fixed values): lot size, fee rate, tax on sales, shorts allowed, days before a purchase may be sold.
+#: Rules by market (fixed values): lot size, fee rate and least fee, transfer fee, tax on sales, slippage, shorts allowed, days before a purchase may be sold, price limit of a bar.
+NO_RULES = {"lot": 0, "fee": 0.0, "least_fee": 0.0, "transfer": 0.0, "tax": 0.0, "slip": 0.0, "short": True, "wait": 0, "limit": None}
 MARKETS = {
-    "china_a": {"lot": 100, "fee": 0.0003, "tax": 0.001, "short": False, "wait": 1},
-    "us_equity": {"lot": 1, "fee": 0.0, "tax": 0.0, "short": True, "wait": 0},
-    "crypto": {"lot": 0, "fee": 0.001, "tax": 0.0, "short": True, "wait": 0},
-    "forex": {"lot": 1000, "fee": 0.00002, "tax": 0.0, "short": True, "wait": 0},
+    "china_a": NO_RULES | {"lot": 100, "fee": 0.00025, "least_fee": 5.0, "transfer": 0.00001, "tax": 0.0005, "slip": 0.001, "short": False, "wait": 1, "limit": 0.1},
+    "us_equity": NO_RULES | {"lot": 1},
+    "crypto": NO_RULES | {"fee": 0.001},
+    "forex": NO_RULES | {"lot": 1000, "fee": 0.00002},
 }
 
 
+def trade_fee(rules: dict, amount: float, sale: bool) -> float:
+    """What a trade of that amount costs: the fee, but not less than the least one, transfer fee and, for sales, tax."""
+    return max(amount * rules["fee"], rules["least_fee"]) + amount * (rules["transfer"] + (rules["tax"] if sale else 0.0))
+
+
 def simulate(aligned: DataFrame, market: str = "us_equity", cash: float = 1_000_000.0, run_col: str = "run", code: str = "code", date: str = "date") -> DataFrame:
-    """run, date, cash, equity, trades of a bar-by-bar simulation: at each open, positions move to their target weight of equity, in lots, by the market's rules; codes take turns in sorted order and share cash.
+    """run, date, cash, equity, trades of a bar-by-bar simulation: at each open, positions move to their target weight of equity, in lots, by the market's rules; codes take turns in sorted order and share cash. Where a price limit holds, nothing is
+    bought at an open that is up by the limit on the last close, and nothing sold at one that is down by it.
 
     Runs (parameter sets, universes) are independent and spread over the cluster; inside a run the bars depend on each other, so a run is one group.
     """
@@ -50,6 +57,7 @@ def simulate(aligned: DataFrame, market: str = "us_equity", cash: float = 1_000_
         last: dict[str, float] = {}
         free, out = cash, []
         for day, (when, bar) in enumerate(pdf.groupby(date, sort=True)):
+            change = {c: o / last[c] - 1 for c, o in zip(bar[code], bar["open"], strict=True) if c in last and o == o and o > 0}
             for c, o in zip(bar[code], bar["open"], strict=True):
                 if o == o and o > 0:
                     last[c] = o
@@ -66,14 +74,17 @@ def simulate(aligned: DataFrame, market: str = "us_equity", cash: float = 1_000_
                 move = target - held.get(c, 0.0)
                 if abs(move) * o < 1e-9 or (move < 0 and rules["wait"] and bought.get(c, -9) > day - 1 - rules["wait"] + 1):
                     continue
-                fee = abs(move) * o * (rules["fee"] + (rules["tax"] if move < 0 else 0.0))
-                if move > 0 and move * o + fee > free:
-                    move = max(0.0, (free / (o * (1 + rules["fee"]))))
+                if rules["limit"] and (change.get(c, 0.0) >= rules["limit"] - 0.001 if move > 0 else change.get(c, 0.0) <= 0.001 - rules["limit"]):
+                    continue
+                at = o * (1 + (rules["slip"] if move > 0 else -rules["slip"]))
+                fee = trade_fee(rules, abs(move) * at, move < 0)
+                if move > 0 and move * at + fee > free:
+                    move = max(0.0, (free - rules["least_fee"]) / (at * (1 + rules["fee"] + rules["transfer"])))
                     move = int(move / rules["lot"]) * rules["lot"] if rules["lot"] else move
-                    fee = move * o * rules["fee"]
+                    fee = trade_fee(rules, move * at, False)
                     if move <= 0:
                         continue
-                free -= move * o + fee
+                free -= move * at + fee
                 held[c] = held.get(c, 0.0) + move
                 if move > 0:
                     bought[c] = day

@@ -53,9 +53,10 @@ def permutation(spark: SparkSession, signal: list[float], returns: list[float],
 
 def p_value(found: DataFrame, value: str = "mean") -> DataFrame:
     """One row: share of draws at or above the actual value, with the usual +1."""
-    actual = F.max(F.when(F.col("draw") == -1, F.col(value)))
-    s = found.agg(actual.alias("actual"), F.collect_list(F.when(F.col("draw") >= 0, F.col(value))).alias("_all"))
-    return s.select("actual", ((F.size(F.filter("_all", lambda v: v >= F.col("actual"))) + 1) / (F.size("_all") + 1)).alias("p_value"))
+    actual = found.where("draw = -1").agg(F.max(value).alias("actual"))
+    drawn = found.where("draw >= 0").join(F.broadcast(actual))  # one row
+    s = drawn.groupBy("actual").agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col(value) >= F.col("actual")).cast("long")).alias("_k"))
+    return s.select("actual", ((F.col("_k") + 1) / (F.col("_n") + 1)).alias("p_value"))
 
 
 def walk_forward(df: DataFrame, value: str, at: str = "date", folds: int = 5) -> DataFrame:

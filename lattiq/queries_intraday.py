@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import expr as X
 from .functions.expr import NUDGE
-from .operators import candles, evaluation
+from .operators import candles, evaluation, research
 from .plans import intraday
 from .plans.panel import BRAND_PANEL_SQL, brand_panel, table
 from .queries import _BASE, _ICS, ORACLES, Compiler, _factor_query, _r, _sqlr, labelled, query
@@ -145,3 +146,65 @@ def eval_correlated_pairs(spark, sf_dir):
 
     found = evaluation.factor_correlation(Compiler(_PAIR).apply(brand_panel(spark, sf_dir)), list(_PAIR))
     return evaluation.correlated_pairs(found, 0.1).select("a", "b", _r("corr"))
+
+
+# ------------------------------------------------------------------------------------------------------------------ research
+
+
+@query("""WITH e AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders), k AS (SELECT unnest(range(0, 50)) AS fold),
+f AS (SELECT CAST(fold AS INT) AS fold, CAST(a + to_years(CAST(fold AS INT)) AS DATE) AS train_from, CAST(a + to_years(CAST(fold AS INT) + 3) AS DATE) AS test_from, CAST(a + to_years(CAST(fold AS INT) + 4) AS DATE) AS test_to, b FROM e, k)
+SELECT fold, train_from, test_from, test_to FROM f WHERE test_to <= b""")
+def research_year_folds(spark, sf_dir):
+    return research.year_folds(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")))
+
+
+_GRID = research.grid()
+_LABEL = {"label": X.lead(X.col("close"), 2) / X.lead(X.col("close"), 1) - 1}
+
+
+def _grid_sql() -> str:
+    rank = lambda x: f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END"
+    base = Compiler(_GRID | _LABEL).to_sql(BRAND_PANEL_SQL, digits=None)
+    near = lambda n: f"CASE WHEN label IS NOT NULL THEN {n} END AS {n}"
+    part = lambda n: f"SELECT '{n}' AS factor, avg(c) AS ic_mean, stddev_samp(c) AS s, count(c) AS n_days FROM (SELECT date, CASE WHEN stddev_samp({n}) > 1e-13 AND stddev_samp(CASE WHEN {n} IS NOT NULL THEN y END) > 1e-13 THEN covar_samp({n}, y) / (stddev_samp({n}) * stddev_samp(CASE WHEN {n} IS NOT NULL THEN y END)) END AS c FROM r GROUP BY date) HAVING count(c) > 0"
+    return f"WITH f0 AS ({base}), f AS (SELECT date, label, {', '.join(near(n) for n in _GRID)} FROM f0), r AS (SELECT date, {rank('label')} AS y, {', '.join(f'{rank(n)} AS {n}' for n in _GRID)} FROM f), u AS ({' UNION ALL '.join(part(n) for n in _GRID)}) SELECT factor, round(ic_mean + {NUDGE}, 4) AS ic_mean, round(ic_mean / nullif(s, 0) + {NUDGE}, 4) AS icir, n_days FROM u"
+
+
+@query(_grid_sql())
+def research_grid(spark, sf_dir):
+    f = Compiler(_GRID | _LABEL).apply(brand_panel(spark, sf_dir))
+    return research.grid_scores(f, list(_GRID), "label").select("factor", _r("ic_mean", 4), _r("icir", 4), "n_days")
+
+
+_TWO = {"a": X.col("close") / X.delay(X.col("close"), 5) - 1, "b": X.rank(X.col("volume"))} | _LABEL
+
+
+@query(f"""WITH f AS ({Compiler(_TWO).to_sql(BRAND_PANEL_SQL, digits=None)}), g AS (SELECT * FROM f WHERE a IS NOT NULL AND b IS NOT NULL),
+d AS (SELECT date, count(label) AS n, coalesce(sum(a) FILTER (label IS NOT NULL), 0) AS sa, coalesce(sum(b) FILTER (label IS NOT NULL), 0) AS sb, coalesce(sum(label), 0) AS sy, coalesce(sum(a * a) FILTER (label IS NOT NULL), 0) AS saa,
+  coalesce(sum(b * b) FILTER (label IS NOT NULL), 0) AS sbb, coalesce(sum(a * b) FILTER (label IS NOT NULL), 0) AS sab, coalesce(sum(a * label), 0) AS say, coalesce(sum(b * label), 0) AS sby FROM g GROUP BY date),
+w AS (SELECT date, row_number() OVER (ORDER BY date) AS i, sum(n) OVER p AS n, sum(sa) OVER p AS sa, sum(sb) OVER p AS sb, sum(sy) OVER p AS sy, sum(saa) OVER p AS saa, sum(sbb) OVER p AS sbb, sum(sab) OVER p AS sab, sum(say) OVER p AS say, sum(sby) OVER p AS sby
+  FROM d WINDOW p AS (ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, sa / n AS ma, sb / n AS mb, sy / n AS my, sqrt(greatest(saa / n - (sa / n) * (sa / n), 0)) + 1e-9 AS da, sqrt(greatest(sbb / n - (sb / n) * (sb / n), 0)) + 1e-9 AS db FROM w WHERE i > 252 AND n >= 50),
+c AS (SELECT *, (saa - n * ma * ma) / (da * da) + 1 AS p, (sbb - n * mb * mb) / (db * db) + 1 AS q, (sab - n * ma * mb) / (da * db) AS r, (say - n * ma * my) / da AS u, (sby - n * mb * my) / db AS v FROM m),
+k AS (SELECT date, ma, mb, da, db, (q * u - r * v) / (p * q - r * r) AS wa, (p * v - r * u) / (p * q - r * r) AS wb FROM c)
+SELECT g.date, code, round(coalesce(wa * (a - ma) / da + wb * (b - mb) / db, 0) + {NUDGE}, 5) AS stacked FROM g LEFT JOIN k ON g.date = k.date""")
+def research_stacked_ridge(spark, sf_dir):
+    f = Compiler(_TWO).apply(brand_panel(spark, sf_dir))
+    return research.stacked_ridge(f, "a", "b", "label").select("date", "code", _r("stacked", 5))
+
+
+@query(f"""WITH x AS (SELECT value - 90 AS y FROM events WHERE value > 90), s AS (SELECT count(*) AS n, avg(y) AS m, avg(y * y) AS v FROM x)
+SELECT n, round(CASE WHEN n >= 10 THEN (1 - m * m / v) / 2 END + {NUDGE}, 6) AS shape, round(CASE WHEN n >= 10 THEN m * (1 + m * m / v) / 2 END + {NUDGE}, 6) AS scale FROM s""")
+def research_gpd_fit(spark, sf_dir):
+    return research.gpd_fit(table(spark, sf_dir, "events"), "value", 90.0).select("n", _r("shape"), _r("scale"))
+
+
+@query(f"""WITH {_MINUTES}, t AS (SELECT *, code IN ('purchase', 'signup') AS buys, close - lag(close) OVER w AS st, lag(volume) OVER w AS before, (close - min(close) OVER d) / (max(close) OVER d - min(close) OVER d + 1e-12) AS p, (volume - min(volume) OVER d) / (max(volume) OVER d - min(volume) OVER d + 1e-12) AS v
+  FROM minutes WINDOW w AS (PARTITION BY date ORDER BY ts, event_id), d AS (PARTITION BY date)),
+m AS (SELECT *, CASE WHEN abs(st) > 1e-9 THEN ln(volume) END AS x, CASE WHEN abs(st) > 1e-9 THEN ln(abs(st) + 1e-12) END AS y FROM t)
+SELECT date, count(*) AS n, round(coalesce(corr(CASE WHEN before IS NOT NULL THEN volume END, before), 0) + {NUDGE}, 6) AS volume_autocorr, round(CASE WHEN count(x) > 5 THEN regr_intercept(y, x) ELSE 0 END + {NUDGE}, 6) AS impact_intercept,
+  round(sqrt(sum((p - v) * (p - v))) / count(*) + {NUDGE}, 6) AS path_distance, round(quantile_cont(abs(st), 0.5) + {NUDGE}, 6) AS median_step, round(coalesce(sum(volume) FILTER (buys), 0) / sum(volume) + {NUDGE}, 6) AS buy_share FROM m GROUP BY date HAVING count(*) >= 10""")
+def research_tick_structure(spark, sf_dir):
+    t = minutes(spark, sf_dir).withColumn("side", F.when(F.col("code").isin("purchase", "signup"), 1).otherwise(-1))
+    s = research.tick_structure(t, ["date"], _ORDER, "close", "volume", "side")
+    return s.select("date", "n", *(_r(c) for c in s.columns[2:]))

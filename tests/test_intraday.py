@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lattiq.functions.expr import Compiler
-from lattiq.operators import candles, evaluation
+from lattiq.operators import candles, evaluation, research, simulation
 from lattiq.plans import intraday
 
 
@@ -119,3 +119,36 @@ def test_lifecycle_states(spark):
     early = s.where(F.col("date") <= days[40].date())
     r = evaluation.lifecycle(early).first()
     assert r.status == "alive" and r.alive_since == days[9].date() and r.alive_days == 31
+
+
+def test_stacked_ridge_by_hand(spark):
+    rng = np.random.default_rng(3)
+    rows = [(datetime.date(2024, 1, 1) + datetime.timedelta(days=d), f"c{k}", *rng.standard_normal(3).tolist()) for d in range(40) for k in range(8)]
+    p = pd.DataFrame(rows, columns=["date", "code", "a", "b", "y"])
+    got = research.stacked_ridge(spark.createDataFrame(p), "a", "b", "y", window=20, warmup=15).toPandas().set_index(["date", "code"])["stacked"]
+    days = sorted(p["date"].unique())
+    for i in (5, 15, 30, 39):
+        now = p[p["date"] == days[i]]
+        past = p[p["date"].isin(days[max(0, i - 20) : i])]
+        want = np.zeros(len(now))
+        if i >= 15:
+            x, y = past[["a", "b"]].to_numpy(), past["y"].to_numpy()
+            mu, sd = x.mean(0), x.std(0) + 1e-9
+            xs = (x - mu) / sd
+            w = np.linalg.solve(xs.T @ xs + np.eye(2), xs.T @ (y - y.mean()))
+            want = (now[["a", "b"]].to_numpy() - mu) / sd @ w
+        np.testing.assert_allclose([got[k] for k in zip(now["date"], now["code"], strict=True)], want, atol=1e-9)
+
+
+def test_fees_and_limits_of_a_market(spark):
+    rules = simulation.MARKETS["china_a"]
+    np.testing.assert_allclose([simulation.trade_fee(rules, 1000.0, False), simulation.trade_fee(rules, 100_000.0, True)], [5.01, 25 + 1 + 50])
+    bars = [(0, 1, "a", 10.0, 10.0, 0.0), (0, 2, "a", 11.0, 11.0, 0.5), (0, 3, "a", 11.0, 11.0, 0.5), (0, 4, "a", 9.9, 9.9, 0.0), (0, 5, "a", 9.9, 9.9, 0.0)]
+    df = spark.createDataFrame(bars, "run int, date int, code string, open double, close double, weight double")
+    got = simulation.simulate(df, "china_a", cash=100_000.0).orderBy("date").toPandas()
+    assert got["trades"].tolist() == [0, 0, 1, 0, 1]  # no purchase at the upper limit, no sale at the lower one
+    bought = 4500 * 11 * 1.001
+    free = 100_000 - bought - max(5, bought * 0.00025) - bought * 0.00001
+    np.testing.assert_allclose(got["cash"].iloc[2], free)
+    sold = 4500 * 9.9 * 0.999
+    np.testing.assert_allclose(got["cash"].iloc[4], free + sold - sold * 0.00025 - sold * 0.00051)
