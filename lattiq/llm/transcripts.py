@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, table
+from .common import Written, cut, held_out, table
 
 #: Names that stand before a colon, or after ### or in <>, at the start of a turn in transcripts (fixed values); each is a value of the marker feature.
 MARKERS = ["user", "human", "q", "customer", "assistant", "ai", "bot", "a", "agent", "system", "instructions", "context", "tool"]
@@ -129,9 +129,9 @@ def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     where one would hold too many turns, it is cut further by turn and hash, so neither null nor repeated turn numbers gather in one row.
     """
     t = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    t = cut(t.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("_by", F.xxhash64("role", "text")))
     coarse = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1))
-    crowded = t.groupBy("conv", coarse.alias("_coarse")).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_TURNS)
+    crowded = t.groupBy("conv", coarse.alias("_coarse")).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_TURNS)  # repeated rows counted too, so a few more than needed
+    t = t.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("_by", F.xxhash64("role", "text"))
     same = lambda a, b, key: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
     t = t.withColumns({"_coarse": coarse, "_turn": F.lit(0).cast("long"), "_part": F.lit(0).cast("long")})
     if not crowded.isEmpty():
@@ -317,11 +317,14 @@ def parse(raw: DataFrame, model: Model | None) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per conversation: its rows, lines, lines of the known role, turns, and hashes of the turns' roles and of the rendered text, block by block."""
-    raw = cut(transcripts(conversations(table(spark, sf_dir, "conversations"))))
+    passing = Written(spark)
+    raw = passing.cut(transcripts(conversations(table(spark, sf_dir, "conversations"))))
     found = parse(raw, train(raw)).withColumnRenamed("conv", "_conv").withColumnRenamed("block", "_block")
     both = raw.join(found, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")))
     right = F.aggregate(F.zip_with("truth", "line_roles", lambda t, r: (t["role"] == r).cast("long")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
     parts = both.select("conv", "block", "n_rows", F.size("line_roles").alias("_lines"), right.alias("_right"), F.size("roles").alias("_turns"), F.sha2(F.array_join("roles", ","), 256).alias("_roles"), F.sha2("rendered", 256).alias("_rendered"))
     whole = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", c))), lambda x: x[c]), ""), 256)
     digest = parts.groupBy("conv").agg(F.sum("n_rows").alias("n_rows"), F.sum("_lines").cast("long").alias("n_lines"), F.sum("_right").alias("n_right"), F.sum("_turns").cast("long").alias("n_turns"), whole("_roles").alias("roles_sha256"), whole("_rendered").alias("rendered_sha256"))
-    return digest.select(F.col("conv").alias("conv_id"), held_out("conv").alias("held_out"), "n_rows", "n_lines", "n_right", "n_turns", "roles_sha256", "rendered_sha256")
+    out = cut(digest.select(F.col("conv").alias("conv_id"), held_out("conv").alias("held_out"), "n_rows", "n_lines", "n_right", "n_turns", "roles_sha256", "rendered_sha256"))
+    passing.drop()
+    return out
