@@ -208,3 +208,38 @@ def research_tick_structure(spark, sf_dir):
     t = minutes(spark, sf_dir).withColumn("side", F.when(F.col("code").isin("purchase", "signup"), 1).otherwise(-1))
     s = research.tick_structure(t, ["date"], _ORDER, "close", "volume", "side")
     return s.select("date", "n", *(_r(c) for c in s.columns[2:]))
+
+
+# ---------------------------------------------------------------------------------------------- SQL of queries in other modules
+
+ORACLES["text_search"] = f"""WITH w AS (SELECT row_number() OVER () AS r, concat_ws(':', conv_id, turn) AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[一-鿿]') AS w FROM conversations), q AS (SELECT unnest(['attention', 'the', 'thing']) AS t),
+d AS (SELECT r, id, len(w) AS l, t, len(list_filter(w, lambda x: x = t)) AS tf FROM w, q), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), i AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM d GROUP BY t),
+s AS (SELECT id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM d JOIN i USING (t), n GROUP BY r, id)
+SELECT id, round(score + {NUDGE}, 6) AS score FROM s WHERE score > 0"""
+
+
+def _cdf(x: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * abs({x})))"
+    tail = f"(exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+ORACLES["option_prices"] = f"""WITH p AS (SELECT p_partkey AS id, p_retailprice AS s, p_retailprice * (0.8 + p_size / 125) AS k, p_size / 365 AS t, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE -1.0 END AS g FROM part),
+v AS (SELECT *, greatest(0.01, 0.25 - 0.15 * ln(k / s) + 0.05 * ln(k / s) * ln(k / s)) AS v, k * exp(-0.03 * t) AS dk FROM p), r AS (SELECT *, v * sqrt(t) AS root, (ln(s / k) + (0.03 + v * v / 2) * t) / (v * sqrt(t)) AS d1 FROM v),
+n AS (SELECT *, g * d1 AS x1, g * (d1 - root) AS x2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS f FROM r), c AS (SELECT *, {_cdf('x1')} AS n1, {_cdf('x2')} AS n2 FROM n)
+SELECT id, {', '.join(f'round({e} + {NUDGE}, 6) AS {n}' for n, e in {'price': 'g * (s * n1 - dk * n2)', 'delta': 'g * n1', 'gamma': 'f / (s * root)', 'theta': '(-s * f * v / (2 * sqrt(t)) - g * 0.03 * dk * n2) / 365', 'vega': 's * f * sqrt(t) / 100'}.items())} FROM c"""
+
+
+def _catalog_sql() -> str:
+    from . import queries as Q
+    from .plans import factors
+
+    rows = []
+    for family, exprs in {"alpha101": Q._alphas, "short": Q._short, "academic": factors.academic(), "bar": factors.bar_shapes(), **{f"window_{n}": factors.window_features(n) for n in factors.WINDOWS}}.items():
+        for e in exprs.values():
+            rows += [(family, c) for c in sorted({x.param[0] for x in Compiler({"x": e}).order if x.op == "col"})]
+    counts = ", ".join(f"count(*) FILTER (c = '{c}') AS {c}" for c in ("open", "high", "low", "close", "volume", "amount", "vwap"))
+    return f"WITH v(family, c) AS (VALUES {', '.join(f'({f!r}, {c!r})' for f, c in rows)}) SELECT family, {counts} FROM v GROUP BY family"
+
+
+ORACLES["catalog_columns_by_family"] = _catalog_sql()
