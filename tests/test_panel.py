@@ -29,7 +29,7 @@ def duck():
 
 
 def rows(pdf: pd.DataFrame) -> list:
-    cell = lambda v: "" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (float, np.floating)) else str(v)[:10] if hasattr(v, "year") else str(v)
+    cell = lambda v: "" if v is None or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, (float, np.floating)) else str(v)[:10] if hasattr(v, "year") else str(v)
     return sorted(tuple(cell(v) for v in r) for r in pdf[sorted(pdf.columns)].itertuples(index=False))
 
 
