@@ -32,6 +32,74 @@ def market(symbol: Column) -> Column:
     )
 
 
+#: Exports of brokers (fixed values): columns that tell a dialect, and where it has each field; several columns of a fee are added.
+DIALECTS = {
+    "tonghuashun": ((("成交时间", "证券代码", "操作"),), {"at": ("成交时间",), "symbol": "证券代码", "name": "证券名称", "side": ("操作",), "quantity": "成交数量", "price": "成交价格", "amount": "成交金额", "fee": ("手续费", "印花税", "过户费")}),
+    "eastmoney": ((("买卖标志", "股票代码"), ("买卖标志", "成交均价")), {"at": ("成交日期", "成交时间"), "symbol": "股票代码", "name": "股票名称", "side": ("买卖标志",), "quantity": "成交数量", "price": "成交均价", "amount": "成交金额", "fee": ("佣金", "印花税")}),
+    "futu": ((("Date", "Symbol", "Side"), ("Date", "Symbol", "Direction")), {"at": ("Date", "Time"), "symbol": "Symbol", "name": "Name", "side": ("Side", "Direction"), "quantity": "Quantity", "price": "Price", "amount": "Amount", "fee": ("Commission", "Platform Fee")}),
+}
+#: Names of fields in other exports, whatever their case; the first that is there counts (fixed values).
+ALIASES = {
+    "at": ("datetime", "time", "date"), "symbol": ("symbol", "ticker", "code"), "name": ("name", "instrument"), "side": ("side", "direction", "action"), "quantity": ("quantity", "qty", "size", "volume"),
+    "price": ("price",), "amount": ("amount", "value", "notional"), "fee": ("fee", "commission", "fees"),
+}
+#: Exchange of a mainland code by its first digit (fixed values).
+EXCHANGES = {"6": ".SH", "0": ".SZ", "3": ".SZ", "4": ".BJ", "8": ".BJ"}
+
+
+def dialect(columns: list[str]) -> str:
+    """Whose export has these columns; generic where names of a time and of a symbol are found, else unknown."""
+    for name, (signs, _) in DIALECTS.items():
+        if any(set(sign) <= set(columns) for sign in signs):
+            return name
+    lower = {c.lower() for c in columns}
+    return "generic" if lower & set(ALIASES["at"]) and lower & set(ALIASES["symbol"]) else "unknown"
+
+
+def qualified(symbol: Column) -> Column:
+    """Mainland codes with six digits and their exchange; those with a point stay, in capitals."""
+    s = F.trim(symbol.cast("string"))
+    s = F.when(F.length(s) < 6, F.lpad(s, 6, "0")).otherwise(s)
+    ending = F.lit("")
+    for digit, exchange in EXCHANGES.items():
+        ending = F.when(F.substring(s, 1, 1) == digit, exchange).otherwise(ending)
+    return F.when(s.contains("."), F.upper(s)).otherwise(F.concat(s, ending))
+
+
+def canonical(raw: DataFrame) -> DataFrame:
+    """datetime, symbol, name, side, quantity, price, amount, fee, market of an export of any dialect. Numbers that can't be read count as 0, an amount of 0 is quantity times price, a side without a selling word is a purchase."""
+    kind, have = dialect(raw.columns), raw.columns
+    if kind in DIALECTS:
+        fields = DIALECTS[kind][1]
+    else:
+        lower = {c.strip().lower(): c for c in reversed(have)}
+        found = {f: next((lower[a] for a in names if a in lower), "") for f, names in ALIASES.items()}
+        fields = found | {"at": (found["at"],), "side": (found["side"],), "fee": (found["fee"],)}
+    text = lambda c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c in have else F.lit("")
+    amount_of = lambda c: F.coalesce(F.regexp_replace(text(c), ",", "").try_cast("double"), F.lit(0.0))
+    parts = [text(c) for c in fields["at"]]
+    if kind == "eastmoney":
+        parts[0] = F.regexp_replace(parts[0], r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    quantity, price = amount_of(fields["quantity"]), amount_of(fields["price"])
+    token = F.lower(text(next((c for c in fields["side"] if c in have), "")))
+    sells = token.isin(SELL)
+    for word in SELL:
+        sells = sells | token.contains(word)
+    mainland = kind in ("tonghuashun", "eastmoney")
+    symbol = qualified(text(fields["symbol"])) if mainland else F.upper(text(fields["symbol"])) if kind == "futu" else text(fields["symbol"])
+    hint = F.lower(text("Market"))
+    where = F.lit("china_a") if mainland else market(symbol)
+    if kind == "futu":
+        where = F.when(hint == "cn", "china_a").when(hint.isin("hk", "us"), hint).when(symbol.endswith(".HK"), "hk").when(~symbol.contains("."), "us").otherwise("other")
+    fee = F.lit(0.0)
+    for c in fields["fee"]:
+        fee = fee + amount_of(c)
+    return raw.select(
+        F.trim(F.concat_ws(" ", *parts)).alias("datetime"), symbol.alias("symbol"), text(fields["name"]).alias("name"), F.when(sells, "sell").otherwise("buy").alias("side"), quantity.alias("quantity"), price.alias("price"),
+        F.coalesce(F.nullif(amount_of(fields["amount"]), F.lit(0.0)), quantity * price).alias("amount"), fee.alias("fee"), where.alias("market"),
+    )
+
+
 def select_rows(trades: DataFrame, expression: str, at: str = "datetime") -> DataFrame:
     """The small filter language of journals: "<date> to <date>" (both days whole) or "<column>=<value>" (case doesn't matter); empty keeps all."""
     text = expression.strip()
