@@ -78,7 +78,7 @@ def lookback_groups(panel: DataFrame, value: str, lookback: int = 60, every: int
 
 
 def equal_risk(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """Weights after five rounds towards equal risk contributions, from inverse volatilities."""
+    """Weights after five rounds towards equal risk contributions, from inverse volatilities; a negative contribution makes a weight below 0."""
     vol = np.sqrt(np.diag(cov))
     if (vol < 1e-12).any():
         return np.full(len(vol), 1 / len(vol))

@@ -92,6 +92,8 @@ def chart_price_levels(spark, sf_dir):
 
 _LEVEL_SQL = f"""WITH {BRAND_PANEL_SQL}, own AS (SELECT code, date, sector, amount, close, coalesce(close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1, 0) AS ret FROM panel),
 day AS (SELECT date, avg(ret) AS ret FROM own GROUP BY date), lev AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS level FROM day)"""
+# Prices of a brand jump from row to row; their hundredth roots make a level that a number can hold.
+_DAMPED_SQL = _LEVEL_SQL.replace("coalesce(close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1, 0)", "coalesce(pow(close / lag(close) OVER (PARTITION BY code ORDER BY date), 0.01) - 1, 0)")
 
 
 def _roll(x: str, how: str, n: int, least: int | None = None) -> str:
@@ -99,7 +101,11 @@ def _roll(x: str, how: str, n: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) {frame} >= {n if least is None else least} THEN {how}({x}) {frame} END"
 
 
-@query(f"""{_LEVEL_SQL}, a AS (SELECT *, level / lag(level) OVER (ORDER BY date) - 1 AS r, level / max(level) OVER (ORDER BY date) - 1 AS fall, coalesce(level / lag(level) OVER (ORDER BY date) - 1, 0) AS day FROM lev),
+def _level(spark, sf_dir):
+    return regimes.market_level(brand_panel(spark, sf_dir).withColumn("close", F.pow("close", F.lit(0.01))))
+
+
+@query(f"""{_DAMPED_SQL}, a AS (SELECT *, level / lag(level) OVER (ORDER BY date) - 1 AS r, level / max(level) OVER (ORDER BY date) - 1 AS fall, coalesce(level / lag(level) OVER (ORDER BY date) - 1, 0) AS day FROM lev),
 b AS (SELECT *, {_roll('r', 'stddev_samp', 20)} AS vol FROM a),
 c AS (SELECT *, {', '.join(f"level / ({_roll('level', 'avg', n, k)}) - 1 AS m{n}_{k}" for n, k in ((250, 20), (40, 10), (250, 250), (120, 120), (60, 60)))}, level / ({_roll('level', 'max', 20, 5)}) - 1 AS t5, level / ({_roll('level', 'max', 20)}) - 1 AS t20,
   {_roll('day', 'sum', 3)} AS day3, {_roll('vol', 'avg', 250)} AS vm, {_roll('vol', 'stddev_samp', 250)} AS vs, {_roll('level', 'max', 20)} AS hi, {_roll('level', 'min', 20)} AS lo, {_roll('level', 'avg', 120)} AS a120 FROM b),
@@ -109,7 +115,7 @@ z AS (SELECT date, level, coalesce(m250_20 < 0, FALSE) OR fall < -0.15 AS bear,
   CASE WHEN coalesce(m120_120 < -0.10, FALSE) THEN 'bear' WHEN coalesce(abs(level - a120) / (a120 + 1e-9) < 0.07, FALSE) OR coalesce((hi - lo) / (lo + 1e-9) < 0.12, FALSE) THEN 'osc' ELSE 'bull' END AS label FROM c)
 SELECT date, round(ln(level) + {NUDGE}, 6) AS level, bear, bear_fast, crisis, {_sqlr('stress')}, bear_vote, label FROM z""")
 def market_states(spark, sf_dir):
-    s = regimes.states(regimes.market_level(brand_panel(spark, sf_dir)))
+    s = regimes.states(_level(spark, sf_dir))
     return s.withColumn("level", F.log("level")).select("date", _r("level"), "bear", "bear_fast", "crisis", _r("stress"), "bear_vote", "label")
 
 
@@ -139,10 +145,10 @@ def market_crowding(spark, sf_dir):
     return regimes.crowding_features(found).select("date", *(_r(n, 4) for n in names))
 
 
-@query(f"""{_LEVEL_SQL}, s AS (SELECT *, list(level) OVER (ORDER BY date ROWS 1259 PRECEDING) AS held FROM lev), p AS (SELECT date, CASE WHEN len(held) >= 250 THEN len(list_filter(held, lambda v: v >= level)) / len(held) END AS share FROM s)
+@query(f"""{_DAMPED_SQL}, s AS (SELECT *, list(level) OVER (ORDER BY date ROWS 1259 PRECEDING) AS held FROM lev), p AS (SELECT date, CASE WHEN len(held) >= 250 THEN len(list_filter(held, lambda v: v >= level)) / len(held) END AS share FROM s)
 SELECT date, {_sqlr('share')} FROM p""")
 def market_level_share(spark, sf_dir):
-    lev = regimes.market_level(brand_panel(spark, sf_dir))
+    lev = _level(spark, sf_dir)
     return lev.select("date", regimes.share_at_least(lev, "level").alias("share")).select("date", _r("share"))
 
 
@@ -198,7 +204,8 @@ for _method in optimizers.METHODS:
 
 @query()
 def market_absorption(spark, sf_dir):
-    return optimizers.absorption(_returns(spark, sf_dir), "ret", every=5).select("date", _r("absorption"))
+    months = _returns(spark, sf_dir).groupBy(F.trunc("date", "month").alias("date"), "code").agg(F.avg("ret").alias("ret"))
+    return optimizers.absorption(months, "ret", 24, 1).select("date", _r("absorption"))
 
 
 @query(f"""{_LEVEL_SQL}, v AS (SELECT *, CASE WHEN count(ret) OVER w = 20 THEN stddev_samp(ret) OVER w END AS vol FROM own WINDOW w AS (PARTITION BY code ORDER BY date ROWS 19 PRECEDING)), i AS (SELECT *, 1 / (vol + 1e-10) AS inv FROM v),
