@@ -553,4 +553,4 @@ def sentiment_seats(spark, sf_dir):
     return S.seat_scores(_board(spark, sf_dir)).select("code", _r("seats"))
 
 
-from . import queries_intraday, queries_market  # noqa: E402, F401
+from . import queries_intraday, queries_market, queries_research  # noqa: E402, F401
