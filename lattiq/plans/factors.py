@@ -56,3 +56,22 @@ def academic() -> dict[str, Expr]:
         "smb": -log(X.ts_mean(V * C, 60) + 1), "strev": -growth(21),
     }
     return {k: X.cs_zscore(e) for k, e in found.items()}
+
+
+def daily_set() -> dict[str, Expr]:
+    """Daily factors of momentum, reversal, risk, liquidity, trend, place and volume. Residual volatility takes the beta to the mean return of all codes over the last 250 rows, so nothing is known early; full windows only."""
+    amount = col("amount")
+    past = lambda d: safe_div(C, delay(C, d)) - 1
+    ret, volume_ret = past(1), safe_div(V, delay(V, 1)) - 1
+    market = X.cs_mean(ret)
+    beta = safe_div(X.ts_cov(ret, market, 250), X.ts_std(market, 250) * X.ts_std(market, 250))
+    fall, rise = where(ret < 0, ret, 0), where(ret > 0, ret, 0)
+    mean20, mean60 = X.ts_mean(C, 20), X.ts_mean(C, 60)
+    found = {f"mom_{d}": past(d) for d in (5, 20, 60, 120, 250)} | {f"rev_{d}": -past(d) for d in (5, 20, 60)}
+    return found | {
+        "mom_12_1": safe_div(delay(C, 21), delay(C, 252)) - 1, "rev_intraday": -safe_div(C - O, O), "rev_rank": X.rank(-past(20)), "vol_20": X.ts_std(ret, 20), "vol_60": X.ts_std(ret, 60), "ret_skew_60": X.ts_skew(ret, 60),
+        "ivol_60": X.ts_std(ret - beta * market, 60), "amihud_20": X.ts_mean(safe_div(absolute(ret), amount), 20), "dolvol_trend": safe_div(amount, X.ts_mean(amount, 20)) - 1,
+        "ma_dev_20": safe_div(C, mean20) - 1, "ma_dev_60": safe_div(C, mean60) - 1, "rsi_14": 1 - safe_div(1, 1 + safe_div(X.ts_mean(rise, 14), X.ts_mean(-fall, 14) + 1e-12)), "boll_w": safe_div(X.ts_std(C, 20) * 4, mean20),
+        "high_52w": safe_div(C, X.ts_max(C, 252)) - 1, "overnight_gap": safe_div(O, delay(C, 1)) - 1, "intraday_range": safe_div(H - L, C), "downside_vol_60": X.ts_std(fall, 60), "drawup_60": safe_div(X.ts_max(C, 60), C) - 1,
+        "vol_ratio": safe_div(V, X.ts_mean(V, 20)), "vol_price_corr": X.ts_corr(ret, volume_ret, 20), "amount_strength": safe_div(amount, X.ts_mean(amount, 60)) - 1,
+    }

@@ -35,6 +35,7 @@ _factor_query("zoo_bar_shapes", factors.bar_shapes())
 for _n in factors.WINDOWS:
     _factor_query(f"zoo_window_{_n}", factors.window_features(_n))
 _factor_query("zoo_academic", factors.academic())
+_factor_query("zoo_daily", factors.daily_set())
 _alphas = alpha101.alphas()
 for _lo in range(1, 102, 10):
     _factor_query(f"zoo_alpha101_{_lo:03d}", {f"alpha_{k:03d}": _alphas[f"alpha_{k:03d}"] for k in range(_lo, min(_lo + 10, 102))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.expr import NUDGE, Compiler
-from .operators import frozen, joins, shadow
+from .operators import frozen, joins, research, shadow, strategies
 from .operators.bench import bench, daily_ics
 from .operators.evaluation import factor_correlation
 from .plans.panel import BRAND_PANEL_SQL, brand_panel, table
@@ -169,3 +169,90 @@ def shadow_scan(spark, sf_dir):
     latest = p.groupBy("code").agg(F.max_by("sector", "date").alias("market"))
     bars = shadow.last_bar_features(p).join(latest, "code")
     return shadow.scan(bars, {"rising": (1, {"momentum": (0.0, None)}), "quiet": (2, {"volume_ratio": (None, 1.5)})})
+
+
+# ---------------------------------------------------------------------------------------------------------------- strategies
+
+_CHAIN_SQL = "k0 AS (SELECT *, TRUE AS go FROM wide)" + "".join(
+    f""", n{i} AS (SELECT * EXCLUDE (go), go AND count({s}) OVER (PARTITION BY date) >= 3 AS go, count({s}) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY {s} DESC NULLS LAST, code) AS place FROM k{i}),
+k{i + 1} AS (SELECT * EXCLUDE (n, place) FROM n{i} WHERE NOT go OR ({s} IS NOT NULL AND place <= greatest(2, floor(n * 0.5))))"""
+    for i, s in enumerate(_NAMES)
+)
+
+
+@query(f"{_WIDE_SQL}, {_CHAIN_SQL}, c AS (SELECT date, avg(coalesce(label, 0)) AS ret, count(*) AS n_held FROM k{len(_NAMES)} GROUP BY date HAVING count(*) >= 2) SELECT date, {_sqlr('ret')}, n_held FROM c")
+def strategy_keep_chain(spark, sf_dir):
+    return strategies.keep_chain(_wide(spark, sf_dir), _NAMES).select("date", _r("ret"), "n_held")
+
+
+@query(f"""{_WIDE_SQL}, k AS (SELECT greatest(1, floor(count(DISTINCT code) * CAST(0.1 AS DOUBLE))) AS k FROM wide), u AS (SELECT date, size AS s, row_number() OVER (PARTITION BY date ORDER BY size DESC, code) AS up, row_number() OVER (PARTITION BY date ORDER BY size, code) AS down FROM wide WHERE size IS NOT NULL),
+g AS (SELECT date, avg(s) FILTER (up <= k) - avg(s) FILTER (down <= k) AS spread FROM u, k GROUP BY date), z AS (SELECT date, spread, CASE WHEN count(spread) OVER w >= 60 THEN (spread - avg(spread) OVER w) / (stddev_samp(spread) OVER w + 1e-9) END AS z FROM g WINDOW w AS (ORDER BY date ROWS 251 PRECEDING))
+SELECT date, {_sqlr('spread')}, CASE WHEN z IS NOT NULL THEN round(greatest(0, least(1, z)) + {NUDGE}, 6) END AS scale FROM z""")
+def strategy_signal_strength(spark, sf_dir):
+    return strategies.signal_strength(_wide(spark, sf_dir), "size").select("date", _r("spread"), _r("scale"))
+
+
+# labels of the brand panel jump; their logarithms are returns of a usual size
+_LOGS_SQL = "port AS (SELECT date, avg(ln(1 + label)) / 100 AS ret FROM wide WHERE mom5 > 0 AND label IS NOT NULL GROUP BY date), idx AS (SELECT date, avg(ln(1 + label)) / 100 AS x FROM wide WHERE label IS NOT NULL GROUP BY date), j AS (SELECT date, ret, coalesce(x, 0) AS x FROM port LEFT JOIN idx USING (date))"
+
+
+@query(f"""{_WIDE_SQL}, {_LOGS_SQL}, o AS (SELECT covar_samp(ret, x) / (var_pop(x) + 1e-12) AS b FROM j), r AS (SELECT *, CASE WHEN count(x) OVER w = 60 THEN covar_samp(ret, x) OVER w / var_samp(x) OVER w END AS own FROM j WINDOW w AS (ORDER BY date ROWS 59 PRECEDING)),
+f AS (SELECT date, ret, x, coalesce(own, first_value(own IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rolling FROM r), h AS (SELECT 'ols' AS method, date, b AS beta, ret - b * x AS net FROM j, o UNION ALL SELECT 'rolling', date, rolling, ret - rolling * x FROM f UNION ALL SELECT 'subtract', date, 1.0, ret - x FROM j)
+SELECT method, date, {_sqlr('beta', 'net')} FROM h""")
+def strategy_hedged(spark, sf_dir):
+    p = _wide(spark, sf_dir).where("label IS NOT NULL").withColumn("_y", F.log1p("label") / 100)
+    port, index = (x.groupBy("date").agg(F.avg("_y").alias("ret")) for x in (p.where("mom5 > 0"), p))
+    one = lambda m: strategies.hedged(port, index, m).select(F.lit(m).alias("method"), "date", _r("beta"), _r("net"))
+    return one("ols").unionByName(one("rolling")).unionByName(one("subtract"))
+
+
+_FOLD_SQL = f"""{_ORD_SQL}, b AS (SELECT date, CAST(floor((row_number() OVER (ORDER BY date) - 1) / 20) AS INT) AS fold FROM (SELECT DISTINCT date FROM long)), fi AS (SELECT factor, fold, ic FROM ics JOIN b USING (date)), g AS (SELECT DISTINCT factor, fold FROM long JOIN b USING (date)),
+w AS (SELECT g.factor, g.fold, CASE WHEN sum(ic) >= 0 THEN 1.0 ELSE -1.0 END AS turn, CASE WHEN stddev_samp(ic) FILTER (fi.fold >= g.fold - 6) > 1e-12 THEN abs(avg(ic) FILTER (fi.fold >= g.fold - 6) / stddev_samp(ic) FILTER (fi.fold >= g.fold - 6)) * sqrt(252) ELSE 0 END AS weight FROM g JOIN fi ON fi.factor = g.factor AND fi.fold < g.fold WHERE g.fold >= 6 GROUP BY 1, 2)"""
+
+
+@query(f"{_FOLD_SQL} SELECT factor, fold, turn, {_sqlr('weight')} FROM w")
+def strategy_fold_weights(spark, sf_dir):
+    long = _long(spark, sf_dir)
+    return strategies.fold_weights(frozen.ordinal_ics(long), long.select("factor", "date")).select("factor", "fold", "turn", _r("weight"))
+
+
+@query(f"""{_FOLD_SQL}, z AS (SELECT factor, date, code, (value - avg(value) OVER a) / (stddev_pop(value) OVER a + 1e-9) AS z FROM long WINDOW a AS (PARTITION BY factor, date)), t AS (SELECT fold, sum(weight) AS total, count(*) AS m FROM w GROUP BY 1),
+s AS (SELECT date, code, fold, sum(z * turn * weight) AS x, sum(z * turn) AS e, count(z) AS n FROM z JOIN b USING (date) JOIN w USING (factor, fold) GROUP BY 1, 2, 3), c AS (SELECT date, code, CASE WHEN n = m THEN CASE WHEN total > 0 THEN x / total ELSE e / m END END AS signal FROM s JOIN t USING (fold)) SELECT date, code, {_sqlr('signal')} FROM c""")
+def strategy_fold_signal(spark, sf_dir):
+    long = _long(spark, sf_dir)
+    weights = strategies.fold_weights(frozen.ordinal_ics(long), long.select("factor", "date"))
+    return strategies.fold_signal(long, weights).select("date", "code", _r("signal"))
+
+
+@query(f"""{_ORD_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY date DESC) AS i FROM ics), k AS (SELECT factor, max(ic) AS peak, arg_max(date, ic) AS day FROM i WHERE i <= 252 GROUP BY 1)
+SELECT factor, date_diff('day', any_value(day), min(date) FILTER (peak > 0 AND date >= day AND ic <= peak / 2)) AS days FROM i JOIN k USING (factor) WHERE i <= 252 GROUP BY 1""")
+def strategy_half_life(spark, sf_dir):
+    return strategies.half_life(frozen.ordinal_ics(_long(spark, sf_dir)))
+
+
+@query(f"""WITH {BRAND_PANEL_SQL}, m AS (SELECT code, date, avg(close) OVER (PARTITION BY code ORDER BY date ROWS 4 PRECEDING) AS fast, avg(close) OVER (PARTITION BY code ORDER BY date ROWS 19 PRECEDING) AS slow FROM panel),
+x AS (SELECT *, row_number() OVER w AS i, fast >= slow + 1e-6 AND lag(fast) OVER w < lag(slow) OVER w + 1e-6 AS rises FROM m WINDOW w AS (PARTITION BY code ORDER BY date)) SELECT code, date, i - coalesce(max(CASE WHEN rises THEN i END) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS bars_since_cross FROM x""")
+def strategy_bars_since_cross(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    mean = lambda n: F.avg("close").over(W.partitionBy("code").orderBy("date").rowsBetween(1 - n, 0))
+    p = brand_panel(spark, sf_dir).select("code", "date", mean(5).alias("fast"), (mean(20) + 1e-6).alias("slow"))
+    return strategies.with_bars_since_cross(p, "fast", "slow").select("code", "date", "bars_since_cross")
+
+
+@query(f"""WITH {BRAND_PANEL_SQL}, r AS (SELECT code, date, ln(close / lag(close) OVER (PARTITION BY code ORDER BY date)) / 100 AS r FROM panel), y AS (SELECT year(date) AS year, date, 0.7 * coalesce(max(r) FILTER (code = 'Brand#11'), 0) + 0.25 * coalesce(max(r) FILTER (code = 'Brand#12'), 0) + 0.05 * coalesce(max(r) FILTER (code = 'Brand#13'), 0) AS r FROM r GROUP BY date),
+e AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY year ORDER BY date)) AS e FROM y), f AS (SELECT *, e / greatest(1, max(e) OVER (PARTITION BY year ORDER BY date)) - 1 AS fall FROM e), g AS (SELECT year, exp(sum(ln(1 + r))) - 1 AS ret, stddev_samp(r) * sqrt(252) AS volatility, min(fall) AS max_fall, count(*) AS n FROM f GROUP BY 1) SELECT year, {_sqlr('ret', 'volatility', 'max_fall')}, n FROM g""")
+def strategy_allocation(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    own = F.log(F.col("close") / F.lag("close").over(W.partitionBy("code").orderBy("date"))) / 100
+    r = brand_panel(spark, sf_dir).select("code", "date", own.alias("r"))
+    parts = {"Brand#11": 0.7, "Brand#12": 0.25, "Brand#13": 0.05}
+    wide = r.groupBy("date").agg(*(F.max(F.when(F.col("code") == b, F.col("r"))).alias(f"w{i}") for i, b in enumerate(parts)))
+    return strategies.allocation_by_year(wide, {f"w{i}": w for i, w in enumerate(parts.values())}).select("year", _r("ret"), _r("volatility"), _r("max_fall"), "n")
+
+
+@query()
+def strategy_trees(spark, sf_dir):
+    p = _wide(spark, sf_dir)
+    return strategies.walk_forward_trees(p, _NAMES, "label", research.year_folds(p), trees=20).select("date", "code", "fold", _r("prediction"))
