@@ -108,3 +108,61 @@ def interactions(panel: DataFrame, by_date: DataFrame, left: list[str], right: l
     """panel with ix_<right>__<left> products of its columns and those of a table of dates."""
     out = panel.join(by_date.select(date, *right), date, "left")
     return out.withColumns({f"ix_{r}__{x}": F.col(r) * F.col(x) for r in right for x in left})
+
+
+#: Named states, the first that fits counts: mean of 60 over that of 250, price over mean of 60, ranges (both ends in) of the last 20 and 5 bars' return and of the distance from the mean of 250 (percent), of yearly volatility, and of bars in a row with MACD at 0 or above (fixed values).
+NAMED = (
+    ("strong_bull", {"above": True, "over": True, "ret20": (3.0, 100.0), "macd_run": (15, 999)}),
+    ("strong_bear", {"above": False, "over": False, "ret20": (-100.0, -3.0), "macd_run": (15, 999)}),
+    ("pullback", {"above": True, "over": False, "ret5": (-100.0, 0.0)}),
+    ("bounce", {"above": False, "over": True, "ret5": (0.0, 100.0)}),
+    ("grind_up", {"above": True, "over": True, "ret20": (0.0, 3.0)}),
+    ("grind_down", {"above": False, "over": False, "ret20": (-3.0, 0.0)}),
+    ("wide_range", {"distance": (-5.0, 5.0), "vol20": (20.0, 999.0)}),
+    ("tight_range", {"distance": (-3.0, 3.0), "vol20": (0.0, 15.0)}),
+)
+
+
+def state_features(bars: DataFrame, price: str = "close", code: str = "code", date: str = "date") -> DataFrame:
+    """code, date, price with above, over, over_before (5 bars ago), ret5, ret20, vol20, distance, macd_run (below 0: negative) of each bar. A comparison with what isn't known yet is false, a return or volatility that isn't is 0."""
+    from ..functions import expr as X
+    from ..functions.expr import Compiler
+
+    c = X.col(price)
+    macd = X.sma(c, 13, 2) - X.sma(c, 27, 2)  # exponential means over 12 and 26 bars
+    p = Compiler({"_macd": macd}, code=code, date=date).apply(bars.where(F.col(price).isNotNull()), keep=(price,))
+    own = W.partitionBy(code).orderBy(date)
+    x = F.col(price)
+    mean = lambda n, least: F.when(F.count(x).over(own.rowsBetween(1 - n, 0)) >= least, F.avg(x).over(own.rowsBetween(1 - n, 0)))
+    past = lambda d: F.coalesce((F.try_divide(x, F.lag(x, d).over(own)) - 1) * 100, F.lit(0.0))
+    p = p.withColumns({"_m60": mean(60, 20), "_m250": mean(250, 60), "ret5": past(5), "ret20": past(20), "_r": F.try_divide(x, F.lag(x).over(own)) - 1, "_up": F.coalesce(F.col("_macd") >= 0, F.lit(False))})
+    w20 = own.rowsBetween(-19, 0)
+    known = lambda rule: F.coalesce(rule, F.lit(False))
+    p = p.withColumns({
+        "above": known(F.col("_m60") >= F.col("_m250")), "over": known(x >= F.col("_m60")), "vol20": F.coalesce(F.when(F.count("_r").over(w20) >= 20, F.stddev_samp("_r").over(w20)), F.lit(0.0)) * 252**0.5 * 100,
+        "distance": (x - F.col("_m250")) / F.when(F.col("_m250") == 0, 1.0).otherwise(F.col("_m250")) * 100, "_turn": (F.col("_up") != F.coalesce(F.lag("_up").over(own), ~F.col("_up"))).cast("int"),
+    })
+    p = p.withColumns({"_run": F.sum("_turn").over(own.rowsBetween(W.unboundedPreceding, 0)), "over_before": F.coalesce(F.lag("over", 5).over(own), F.lit(False))})
+    place = F.row_number().over(W.partitionBy(code, "_run").orderBy(date))
+    return p.select(code, date, price, "above", "over", "over_before", "ret5", "ret20", "vol20", "distance", F.when(F.col("_up"), place).otherwise(-place).alias("macd_run"))
+
+
+def named_states(features: DataFrame, least: int = 5, code: str = "code", date: str = "date") -> DataFrame:
+    """features with `state` (tight_range where none fits), `state_now` (a pullback must come from above the mean five bars ago, a bounce from below it, else the next that fits) and `settled`: the state of the last run of at least `least` bars that began by then, NULL before one."""
+    def fits(rule: dict) -> Column:
+        out = F.lit(True)
+        for name, want in rule.items():
+            x = F.col(name)
+            out = out & ((x == want) if isinstance(want, bool) else (x >= want[0]) & (x <= want[1]))
+        return F.coalesce(out, F.lit(False))
+
+    state, now = F, F
+    before = {"pullback": F.col("over_before"), "bounce": ~F.col("over_before")}
+    for name, rule in NAMED:
+        state, now = state.when(fits(rule), name), now.when(fits(rule) & before.get(name, F.lit(True)), name)
+    own = W.partitionBy(code).orderBy(date)
+    p = features.withColumns({"state": state.otherwise("tight_range"), "state_now": now.otherwise("tight_range")})
+    p = p.withColumn("_turn", (~F.col("state").eqNullSafe(F.lag("state").over(own))).cast("int")).withColumn("_run", F.sum("_turn").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    p = p.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(code, "_run")))
+    settled = F.last(F.when(F.col("_n") >= least, F.col("state")), ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, 0))
+    return p.withColumn("settled", settled).drop("_turn", "_run", "_n")

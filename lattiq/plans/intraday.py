@@ -1,10 +1,12 @@
 """Daily factors of minute bars (code, date, open, high, low, close, volume, amount and columns that order a day's bars), and of daily bars, as windows and grouped aggregates.
 
-A day's windows and ranks are partitioned by code and date, so a shuffle by (code, date) serves them all; nothing is gathered. Too few bars in a day, or days in a window, give NULL.
+A day's windows and ranks are partitioned by code and date, so a shuffle by (code, date) serves them all; only `day_shapes` takes a day's bars as a group. Too few bars in a day, or days in a window, give NULL.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,3 +139,74 @@ def bar_factors(bars: DataFrame, window: int = 20, percentile: int = 60) -> Data
         F.when(F.count("logr").over(t) == window, F.avg("logr").over(t)).alias("reversal_equal"),
         F.when(F.count("logr").over(t) == window, F.sum(F.col("logr") * F.col("volume")).over(t) / F.sum(F.when(F.col("logr").isNotNull(), F.col("volume"))).over(t)).alias("reversal_volume"),
     )
+
+
+#: Fewest bars of a spectrum, of followed peaks and of regressions; lags and bars of a regression, fewest regressions of a day; peaks looked at, bars between them and after them (fixed values).
+FEW_SPECTRUM, LAGS, REGRESSED, FEW_FITS, PEAKS, APART = 12, 6, 30, 10, 10, 5
+
+
+def followed_peaks(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """code, date, follow: mean over a day's peaks of the volume of the next five bars in terms of the peak's. Of the ten bars of most volume (ties: earlier first) those count that come over five bars after the last that counts; NULL with under 30 bars or two peaks."""
+    day = W.partitionBy("code", "date")
+    w = day.orderBy(*order)
+    v = F.col("volume")
+    m = minutes.select("code", "date", "volume", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(day).alias("n"), F.coalesce(F.sum("volume").over(w.rowsBetween(1, APART)), F.lit(0.0)).alias("_next"))
+    m = m.withColumn("_place", F.row_number().over(day.orderBy(v.desc_nulls_last(), "i")))
+    # ten peaks of a day at most
+    top = F.array_sort(F.collect_list(F.when(F.col("_place") <= PEAKS, F.struct("i", F.when(v > 0, F.col("_next") / v).alias("f")))))
+    s = m.groupBy("code", "date").agg(F.max("n").alias("n"), top.alias("_top"))
+    start = F.struct(F.lit(-1000).alias("last"), F.lit(0).alias("peaks"), F.lit(0).alias("k"), F.lit(0.0).alias("s"))
+
+    def step(a: Column, x: Column) -> Column:
+        taken = x["i"] - a["last"] > APART
+        known = x["f"].isNotNull()
+        return F.when(taken, F.struct(x["i"].alias("last"), (a["peaks"] + 1).alias("peaks"), (a["k"] + known.cast("int")).alias("k"), (a["s"] + F.coalesce(x["f"], F.lit(0.0))).alias("s"))).otherwise(a)
+
+    got = F.aggregate("_top", start, step)
+    return s.withColumn("_g", got).select("code", "date", F.when((F.col("n") >= 30) & (F.col("_g.peaks") >= 2) & (F.col("_g.k") >= 2), F.col("_g.s") / F.col("_g.k")).alias("follow"))
+
+
+def _spectrum(v: np.ndarray) -> float | None:
+    v = v[~np.isnan(v)]
+    if len(v) < FEW_SPECTRUM:
+        return None
+    low, high = np.percentile(v, [25, 75])
+    v = np.clip(v, np.median(v) - 3 * (high - low), np.median(v) + 3 * (high - low))
+    power = np.abs(np.fft.rfft((v - v.mean()) * np.hanning(len(v)))) ** 2
+    whole = power[1:].sum()
+    return float(power[max(1, round(0.4 * (len(power) - 1))) :].sum() / whole) if whole >= 1e-20 else None
+
+
+def _lag_t(close: np.ndarray, volume: np.ndarray) -> tuple[float | None, float | None, float | None]:
+    r, dv = np.diff(np.log(close)), np.diff(volume)
+    found = []
+    for last in range(LAGS + REGRESSED, len(r)):
+        rows = slice(last - REGRESSED + 1, last + 1)
+        x = np.column_stack([np.ones(REGRESSED), *(dv[rows.start - lag : rows.stop - lag] for lag in range(LAGS))])
+        good = np.isfinite(x).all(axis=1) & np.isfinite(r[rows])
+        x, y = x[good], r[rows][good]
+        if len(y) < REGRESSED // 2 or x[:, 1].std() < 1e-15:
+            continue
+        fit = np.linalg.lstsq(x, y, rcond=None)[0]
+        free = len(y) - LAGS - 1
+        error = np.sqrt(np.abs(np.diag(np.linalg.pinv(x.T @ x + 1e-10 * np.eye(LAGS + 1)))) * (((y - x @ fit) ** 2).sum() / free if free > 0 else 1.0))
+        found.append(fit / np.where(error > 1e-15, error, 1.0))
+    if len(found) < FEW_FITS:
+        return None, None, None
+    t = np.array(found)
+    return float(t[:, 2:].std(axis=1).mean()), float(np.abs(t[:, 0]).mean()), float(t[:, 0].mean())
+
+
+def day_shapes(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """code, date, ripple: share of the volume's power in its faster waves; lag_spread, level_size, level: spread of the t-values of lagged volume changes in rolling regressions of returns, size and mean of the constant's. A day's bars are a group of their own, which numpy takes whole."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(list(order), kind="stable")
+        v, c = p["volume"].to_numpy(float), p["close"].to_numpy(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread, size, level = _lag_t(c, v) if len(c) >= REGRESSED else (None, None, None)
+        return pd.DataFrame([(p["code"].iloc[0], p["date"].iloc[0], _spectrum(v), spread, size, level)], columns=["code", "date", "ripple", "lag_spread", "level_size", "level"])
+
+    kind = minutes.schema["code"].dataType.simpleString()
+    used = dict.fromkeys(["code", "date", *order, "close", "volume"])
+    return minutes.select(*used).groupBy("code", "date").applyInPandas(run, f"code {kind}, date date, ripple double, lag_spread double, level_size double, level double")

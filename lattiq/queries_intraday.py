@@ -243,3 +243,13 @@ def _catalog_sql() -> str:
 
 
 ORACLES["catalog_columns_by_family"] = _catalog_sql()
+
+
+@query()
+def intraday_followed_peaks(spark, sf_dir):
+    return intraday.followed_peaks(minutes(spark, sf_dir), _ORDER).select("code", "date", _r("follow"))
+
+
+@query()
+def intraday_day_shapes(spark, sf_dir):
+    return intraday.day_shapes(minutes(spark, sf_dir), _ORDER).select("code", "date", *(_r(c, 4) for c in ("ripple", "lag_spread", "level_size", "level")))

@@ -119,6 +119,12 @@ def market_states(spark, sf_dir):
     return s.withColumn("level", F.log("level")).select("date", _r("level"), "bear", "bear_fast", "crisis", _r("stress"), "bear_vote", "label")
 
 
+@query()
+def market_named_states(spark, sf_dir):
+    bars = _level(spark, sf_dir).select(F.lit("market").alias("code"), "date", F.col("level").alias("close"))
+    return regimes.named_states(regimes.state_features(bars)).select("date", "state", "state_now", "settled", "macd_run")
+
+
 def _returns(spark, sf_dir):
     p = brand_panel(spark, sf_dir)
     from pyspark.sql import Window as W

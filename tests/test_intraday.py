@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lattiq.functions.expr import Compiler
@@ -152,3 +153,44 @@ def test_fees_and_limits_of_a_market(spark):
     np.testing.assert_allclose(got["cash"].iloc[2], free)
     sold = 4500 * 9.9 * 0.999
     np.testing.assert_allclose(got["cash"].iloc[4], free + sold - sold * 0.00025 - sold * 0.00051)
+
+
+def test_day_shapes_and_followed_peaks(spark):
+    rng = np.random.default_rng(21)
+    rows = [(f"c{k}", datetime.date(2024, 1, 1 + d), i, float(10 * np.exp(rng.normal() * 0.01)), float(rng.integers(1, 30) if k else 7)) for k in range(3) for d in range(2) for i in range(8 if k == 2 and d else 90)]
+    df = spark.createDataFrame(rows, "code string, date date, i int, close double, volume double").repartition(5)
+    follow = {(r["code"], r["date"]): r["follow"] for r in intraday.followed_peaks(df.withColumnRenamed("i", "at"), ("at",)).collect()}
+    shapes = {(r["code"], r["date"]): r for r in intraday.day_shapes(df, ("i",)).collect()}
+    p = pd.DataFrame(rows, columns=["code", "date", "i", "close", "volume"])
+    for key, g in p.groupby(["code", "date"]):
+        v, c = g["volume"].to_numpy(), g["close"].to_numpy()
+        s = shapes[key]
+        if len(v) < 30:
+            assert follow[key] is None and s["ripple"] is None and s["level"] is None
+            continue
+        kept = []
+        for t in sorted(np.argsort(-v, kind="stable")[:10]):
+            if not kept or t - kept[-1] > 5:
+                kept.append(t)
+        want = np.mean([v[t + 1 : t + 6].sum() / v[t] for t in kept]) if len(kept) >= 2 else None
+        assert follow[key] == (None if want is None else pytest.approx(want))
+        if key[0] == "c0":  # volume never moves: no power, no regression
+            assert s["ripple"] is None and s["level"] is None
+            continue
+        q1, q3 = np.quantile(v, [0.25, 0.75])
+        x = np.clip(v, np.median(v) - 3 * (q3 - q1), np.median(v) + 3 * (q3 - q1))
+        n = len(v)
+        x = (x - x.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+        power = [abs(sum(x[j] * np.exp(-2j * np.pi * f * j / n) for j in range(n))) ** 2 for f in range(n // 2 + 1)]
+        assert s["ripple"] == pytest.approx(sum(power[round(0.4 * (n // 2)) :]) / sum(power[1:]))
+        r, dv = np.diff(np.log(c)), np.diff(v)
+        spreads, levels = [], []
+        for last in range(36, len(r)):
+            a = np.array([[1.0, *(dv[t - lag] for lag in range(6))] for t in range(last - 29, last + 1)])
+            y = r[last - 29 : last + 1]
+            b = np.linalg.solve(a.T @ a, a.T @ y)
+            e = y - a @ b
+            t = b / np.sqrt(np.diag(np.linalg.inv(a.T @ a)) * (e @ e) / 23)
+            spreads.append(np.std(t[2:]))
+            levels.append(t[0])
+        assert s["lag_spread"] == pytest.approx(np.mean(spreads), rel=1e-6) and s["level"] == pytest.approx(np.mean(levels), rel=1e-6) and s["level_size"] == pytest.approx(np.mean(np.abs(levels)), rel=1e-6)

@@ -278,3 +278,47 @@ def test_broker_exports(spark, columns, row, want):
     r = journal.canonical(raw).first()
     assert (r.datetime, r.symbol, r.side, r.quantity, r.amount, r.fee, r.market) == want
     assert journal.dialect(["a", "b"]) == "unknown"
+
+
+def test_named_states(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, drift in enumerate((0.002, -0.002, 0.0)):
+        close = 50 * np.exp(np.cumsum(rng.standard_normal(420) * 0.012 + drift * np.sign(np.sin(np.arange(420) / 60))))
+        rows += [(f"c{k}", datetime.date(2020, 1, 1) + datetime.timedelta(days=i), float(c)) for i, c in enumerate(close)]
+    got = regimes.named_states(regimes.state_features(spark.createDataFrame(rows, "code string, date date, close double"))).toPandas().sort_values(["code", "date"])
+    seen = set()
+    for _, g in got.groupby("code"):
+        c = g["close"].reset_index(drop=True)
+        m60, m250 = c.rolling(60, min_periods=20).mean(), c.rolling(250, min_periods=60).mean()
+        macd = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
+        run, runs = 0, []
+        for v in macd >= 0:
+            run = (run + 1 if run > 0 else 1) if v else (run - 1 if run < 0 else -1)
+            runs.append(run)
+        assert list(g["macd_run"]) == runs
+        r5, r20 = c.pct_change(5).fillna(0) * 100, c.pct_change(20).fillna(0) * 100
+        vol = c.pct_change().rolling(20).std().fillna(0) * 252**0.5 * 100
+        above, over, far = m60 >= m250, c >= m60, (c / m250 - 1) * 100
+        names, now = [], []
+        for i in range(len(c)):
+            a, o = above[i], over[i]
+            before = bool(over[i - 5]) if i >= 5 else False
+            fits = [
+                ("strong_bull", a and o and 3 <= r20[i] <= 100 and runs[i] >= 15), ("strong_bear", not a and not o and -100 <= r20[i] <= -3 and runs[i] >= 15), ("pullback", a and not o and -100 <= r5[i] <= 0),
+                ("bounce", not a and o and 0 <= r5[i] <= 100), ("grind_up", a and o and 0 <= r20[i] <= 3), ("grind_down", not a and not o and -3 <= r20[i] <= 0), ("wide_range", -5 <= far[i] <= 5 and 20 <= vol[i]), ("tight_range", True),
+            ]
+            names.append(next(n for n, f in fits if f))
+            now.append(next(n for n, f in fits if f and not (n == "pullback" and not before) and not (n == "bounce" and before)))
+        assert list(g["state"]) == names and list(g["state_now"]) == now
+        seen |= set(names)
+        settled, last, i = [], None, 0
+        while i < len(names):
+            j = i
+            while j < len(names) and names[j] == names[i]:
+                j += 1
+            last = names[i] if j - i >= 5 else last
+            settled += [last] * (j - i)
+            i = j
+        assert [None if x != x else x for x in g["settled"]] == settled
+    assert len(seen) >= 6
