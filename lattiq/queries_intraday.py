@@ -245,7 +245,10 @@ def _catalog_sql() -> str:
 ORACLES["catalog_columns_by_family"] = _catalog_sql()
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MINUTES}, m AS (SELECT code, date, volume, row_number() OVER w AS i, count(*) OVER (PARTITION BY code, date) AS n, coalesce(sum(volume) OVER (PARTITION BY code, date ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) AS later FROM minutes WINDOW w AS (PARTITION BY code, date ORDER BY ts, event_id)),
+top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY code, date ORDER BY volume DESC, i) <= 10), hop AS (SELECT a.code, a.date, a.i, min(b.i) AS then FROM top a LEFT JOIN top b ON a.code = b.code AND a.date = b.date AND b.i > a.i + 5 GROUP BY 1, 2, 3),
+taken AS (SELECT code, date, min(i) AS i FROM top GROUP BY 1, 2 UNION ALL SELECT h.code, h.date, h.then FROM taken k JOIN hop h ON h.code = k.code AND h.date = k.date AND h.i = k.i WHERE h.then IS NOT NULL),
+f AS (SELECT code, date, avg(later / volume) AS follow, count(*) AS peaks FROM taken JOIN top USING (code, date, i) GROUP BY 1, 2), d AS (SELECT code, date, max(n) AS n FROM m GROUP BY 1, 2), r AS (SELECT code, date, CASE WHEN n >= 30 AND peaks >= 2 THEN follow END AS follow FROM d LEFT JOIN f USING (code, date)) SELECT code, date, {_sqlr('follow')} FROM r""")
 def intraday_followed_peaks(spark, sf_dir):
     return intraday.followed_peaks(minutes(spark, sf_dir), _ORDER).select("code", "date", _r("follow"))
 
