@@ -67,12 +67,13 @@ def fold_weights(ics: DataFrame, dates: DataFrame, train: int = TRAIN_DAYS, test
     `dates` holds (factor, date) of the values to weigh. IC is summed up by block of `test` dates once; folds are windows over the blocks' sums, so no date is read twice. A factor without any IC before a fold has no row there."""
     if train % test:
         raise ValueError("train has to be a multiple of test")
-    block = numbered(dates, test, date)
-    b = ics.join(block, date).groupBy("factor", "fold").agg(F.count("ic").alias("_n"), F.sum("ic").alias("_s"), F.sum(F.col("ic") * F.col("ic")).alias("_q"))
-    grid = dates.join(block, date).select("factor", "fold").distinct().join(b, ["factor", "fold"], "left")
+    seen = dates.select("factor", date).distinct()
+    known = seen.join(ics, ["factor", date], "left").join(numbered(seen, test, date), date)
+    grid = known.groupBy("factor", "fold").agg(F.count("ic").alias("_n"), F.sum("ic").alias("_s"), F.sum(F.col("ic") * F.col("ic")).alias("_q"))
     order = W.partitionBy("factor").orderBy("fold")
     past, window = order.rangeBetween(W.unboundedPreceding, -1), order.rangeBetween(-(train // test), -1)
     n, s, q = (F.sum(c).over(window) for c in ("_n", "_s", "_q"))
+    n = F.nullif(n, F.lit(0))
     g = grid.select("factor", "fold", F.sum("_n").over(past).alias("_past"), F.sum("_s").over(past).alias("_all"), n.alias("_k"), (s / n).alias("_mean"), F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))).alias("_sd"))
     weight = F.when(F.col("_sd") > 1e-12, F.abs(F.col("_mean") / F.col("_sd")) * 252**0.5).otherwise(0.0)
     return g.where((F.col("fold") >= train // test) & (F.col("_past") > 0)).select("factor", "fold", F.when(F.col("_all") >= 0, 1.0).otherwise(-1.0).alias("turn"), weight.alias("weight"))
