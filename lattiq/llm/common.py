@@ -56,6 +56,12 @@ class Written:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes a result that outlives the tables it was made from; drop() leaves it."""
+        out = self.cut(df)
+        self.paths.pop()
+        return out
+
     def drop(self) -> None:
         for path in self.paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
