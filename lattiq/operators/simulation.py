@@ -57,7 +57,7 @@ def simulate(aligned: DataFrame, market: str = "us_equity", cash: float = 1_000_
         last: dict[str, float] = {}
         free, out = cash, []
         for day, (when, bar) in enumerate(pdf.groupby(date, sort=True)):
-            change = {c: o / last[c] - 1 for c, o in zip(bar[code], bar["open"], strict=True) if c in last and o == o and o > 0}
+            change = {c: o / last[c] - 1 for c, o in zip(bar[code], bar["open"], strict=True) if last.get(c, 0.0) > 0 and o == o and o > 0}
             for c, o in zip(bar[code], bar["open"], strict=True):
                 if o == o and o > 0:
                     last[c] = o

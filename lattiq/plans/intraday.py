@@ -1,5 +1,6 @@
 """Daily factors of minute bars (code, date, open, high, low, close, volume, amount and columns that order a day's bars), and of daily bars, as windows and grouped aggregates.
 
+Prices and volumes of zero make no ratio: what divides by one is NULL, and so is the logarithm of one.
 A day's windows and ranks are partitioned by code and date, so a shuffle by (code, date) serves them all; only `day_shapes` takes a day's bars as a group. Too few bars in a day, or days in a window, give NULL.
 """
 
@@ -37,8 +38,8 @@ def bars_of_day(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     five, so_far = w.rowsBetween(-4, 0), w.rowsBetween(W.unboundedPreceding, 0)
     c = F.col("close")
     m = minutes.withColumns({
-        "i": F.row_number().over(w), "n": F.count(F.lit(1)).over(day), "r": F.ln(c / F.lag(c).over(w)), "dv": F.col("volume") - F.lag("volume").over(w),
-        "pos": 0.5 * (c / F.min(c).over(so_far) - 1) + 0.5 * (F.max(c).over(so_far) / c - 1), "amp": (F.col("high") - F.col("low")) / c, "ret5": c / F.lag(c, 5).over(w) - 1,
+        "i": F.row_number().over(w), "n": F.count(F.lit(1)).over(day), "r": F.ln(F.try_divide(c, F.lag(c).over(w))), "dv": F.col("volume") - F.lag("volume").over(w),
+        "pos": 0.5 * (F.try_divide(c, F.min(c).over(so_far)) - 1) + 0.5 * (F.try_divide(F.max(c).over(so_far), c) - 1), "amp": F.try_divide(F.col("high") - F.col("low"), c), "ret5": F.try_divide(c, F.lag(c, 5).over(w)) - 1,
         "sum5": _full(F.col("volume"), five, 5, F.sum("volume").over(five)),
     })
     m = m.withColumns({"v5": _full(F.col("r"), five, 5, F.stddev_pop("r").over(five)), "sum5_before": F.lag("sum5").over(w), "dv_mean": F.avg("dv").over(day), "dv_sd": F.stddev_pop("dv").over(day), "s": F.when(F.col("volume") > 0, F.abs("r") / F.sqrt("volume"))})
@@ -48,7 +49,7 @@ def bars_of_day(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     traded = F.when(F.col("s").isNotNull(), F.col("volume"))
     return m.withColumns({
         "ambiguity_mean": F.avg("ambiguity").over(day), "rank_r": F.when(later, F.row_number().over(day.orderBy(F.col("r").asc_nulls_last(), "i"))),
-        "rank_pos": F.when(later, F.row_number().over(day.orderBy(later.cast("int").desc(), "pos", "i"))), "traded": traded, "cum_traded": F.sum(traded).over(by_s), "all_traded": F.sum(traded).over(day),
+        "rank_pos": F.when(later, F.row_number().over(day.orderBy(later.cast("int").desc(), F.col("pos").asc_nulls_last(), "i"))), "traded": traded, "cum_traded": F.sum(traded).over(by_s), "all_traded": F.sum(traded).over(day),
     })
 
 
@@ -59,16 +60,16 @@ def daily_factors(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     n = F.max("n")
     weight = lambda rank, x: F.sum((2 * F.col(rank) - F.col("n")) * F.col(x))  # noqa: E731  n - 1 returns are ranked
     known, foggy = F.col("ambiguity").isNotNull(), F.col("ambiguity") > F.col("ambiguity_mean")
-    share = lambda x: F.coalesce(F.avg(_when(foggy, F.col(x))) / (F.avg(_when(known, F.col(x))) + 1e-10), F.lit(0.0))
+    share = lambda x: F.coalesce(F.try_divide(F.avg(_when(foggy, F.col(x))), F.avg(_when(known, F.col(x))) + 1e-10), F.lit(0.0))
     surge, plunge = F.col("dv") > F.col("dv_mean") + F.col("dv_sd"), F.col("dv") < F.col("dv_mean") - F.col("dv_sd")
-    day_return = F.ln(F.max(_when(F.col("i") == F.col("n"), F.col("close"))) / F.max(_when(F.col("i") == 1, F.col("close"))))
+    day_return = F.ln(F.try_divide(F.max(_when(F.col("i") == F.col("n"), F.col("close"))), F.max(_when(F.col("i") == 1, F.col("close")))))
     both = (F.count(_when(surge, F.lit(1))) >= 2) & (F.count(_when(plunge, F.lit(1))) >= 2)
     apart = lambda x: F.abs(F.avg(_when(surge, F.col(x))) - F.avg(_when(plunge, F.col(x))))
     simple = F.exp("r") - 1
     rapid = (F.col("sum5") > F.col("sum5_before")) & (F.col("ret5") < 0) & (F.col("i") >= 6) & (F.col("i") <= F.col("n") - 3)
-    part = lambda x: F.sum(_when(rapid, F.col(x))) / F.sum(x)
+    part = lambda x: F.try_divide(F.sum(_when(rapid, F.col(x))), F.sum(x))
     smart = F.col("cum_traded") - F.col("traded") < SMART_SHARE * F.col("all_traded")
-    vwap = lambda rule: F.sum(_when(rule, F.col("close") * F.col("traded"))) / F.sum(_when(rule, F.col("traded")))
+    vwap = lambda rule: F.try_divide(F.sum(_when(rule, F.col("close") * F.col("traded"))), F.sum(_when(rule, F.col("traded"))))
     spike = F.coalesce(F.col("volume") > 2 * F.col("sum5") / 5, F.lit(False))
     calm = F.avg(_when(~spike, F.col("amp")))
     found = m.groupBy("code", "date").agg(
@@ -79,10 +80,10 @@ def daily_factors(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
         F.when((n >= SOME) & (F.max("dv_sd") >= 1e-10), F.when(both, day_return * apart("r")).otherwise(0.0)).alias("treat_ret"),
         F.when(n >= SOME, F.avg(2 * (simple - F.col("r")) - F.pow("r", F.lit(2)))).alias("jump"),
         F.when(n >= FEW, F.when(F.count(_when(rapid, F.lit(1))) >= 3, part("amount") - part("volume")).otherwise(0.0)).alias("rapids"),
-        F.when((n >= FEW) & (F.count("s") >= 15), vwap(smart) / vwap(F.lit(True))).alias("smart_money"),
+        F.when((n >= FEW) & (F.count("s") >= 15), F.try_divide(vwap(smart), vwap(F.lit(True)))).alias("smart_money"),
         F.when((n >= FEW) & (calm >= 1e-10), 1 - F.coalesce(F.avg(_when(spike, F.col("amp"))), F.lit(0.0)) / calm).alias("elasticity"),
     )
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("i") - 1) / F.floor(F.col("n") / BUCKETS)))
+    bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.try_divide(F.col("i") - 1, F.floor(F.col("n") / BUCKETS))))
     shares = m.where(F.col("n") >= BUCKETS).groupBy("code", "date", bucket.alias("b")).agg(F.sum("volume").alias("v"))
     total = F.sum("v").over(W.partitionBy("code", "date"))
     shares = shares.withColumn("p", F.col("v") / F.when(total > 0, total)).where("p > 0").groupBy("code", "date").agg(F.count(F.lit(1)).alias("k"), (-F.sum(F.col("p") * F.log2("p"))).alias("h"))
@@ -116,8 +117,8 @@ def bar_factors(bars: DataFrame, window: int = 20, percentile: int = 60) -> Data
     spread = lambda x, over=t, k=5: least(x, over, max(k, 2), F.stddev_samp(x).over(over))
     c, o = F.col("close"), F.col("open")
     before = F.lag(c).over(by)
-    d = bars.withColumns({"inter": c / before - 1, "intra": c / o - 1, "night": o / before - 1, "logr": F.ln(c / before)})
-    d = d.withColumns({"turn": F.col("volume") / mean("volume"), "market": F.avg("inter").over(W.partitionBy("date"))})
+    d = bars.withColumns({"inter": F.try_divide(c, before) - 1, "intra": F.try_divide(c, o) - 1, "night": F.try_divide(o, before) - 1, "logr": F.ln(F.try_divide(c, before))})
+    d = d.withColumns({"turn": F.try_divide(F.col("volume"), mean("volume")), "market": F.avg("inter").over(W.partitionBy("date"))})
     d = d.withColumns({"turn_change": F.col("turn") - F.lag("turn").over(by), **{f"sd_{x}": spread(x) for x in ("inter", "intra", "night")}})
     flip = lambda x: F.when(F.col(x) < mean(x, long, window), -1).otherwise(1)
     coin = (total("inter") * (flip("sd_inter") + flip("turn_change")) / 2 + total("intra") * flip("sd_intra") + total("night") * flip("sd_night") * (1 + F.abs(F.col("night") - mean("night", long, window)))) / 3
@@ -137,7 +138,7 @@ def bar_factors(bars: DataFrame, window: int = 20, percentile: int = 60) -> Data
         F.when(seen >= 20, below / seen).alias("percentile"),
         F.when(F.count(paired).over(prior) == window, F.sqrt(F.greatest(resid, F.lit(0.0)))).alias("idio_vol"),
         F.when(F.count("logr").over(t) == window, F.avg("logr").over(t)).alias("reversal_equal"),
-        F.when(F.count("logr").over(t) == window, F.sum(F.col("logr") * F.col("volume")).over(t) / F.sum(F.when(F.col("logr").isNotNull(), F.col("volume"))).over(t)).alias("reversal_volume"),
+        F.when(F.count("logr").over(t) == window, F.try_divide(F.sum(F.col("logr") * F.col("volume")).over(t), F.sum(F.when(F.col("logr").isNotNull(), F.col("volume"))).over(t))).alias("reversal_volume"),
     )
 
 

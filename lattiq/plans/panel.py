@@ -36,8 +36,8 @@ def bars(ticks: DataFrame, every: str = "day", order: tuple[str, ...] = ("ts",))
 
 
 def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of unit prices per brand; the brand's number modulo 5 is its sector."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    """Daily bars of unit prices per brand; the brand's number modulo 5 is its sector. A line without quantity is no trade."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate").where("l_quantity != 0")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     ticks = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_shipdate").alias("ts"), F.col("p_brand").alias("code"), "l_orderkey", "l_linenumber",
@@ -60,14 +60,14 @@ panel AS (
     arg_min(price, (l_orderkey, l_linenumber, price)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (l_orderkey, l_linenumber, price)) AS close,
     sum(l_quantity) AS volume, sum(price * l_quantity) AS amount, sum(price * l_quantity) / sum(l_quantity) AS vwap,
     CAST(regexp_extract(p_brand, '(\d+)', 1) AS INT) % 5 AS sector
-  FROM (SELECT *, l_extendedprice / l_quantity AS price FROM lineitem JOIN part ON l_partkey = p_partkey)
+  FROM (SELECT *, l_extendedprice / l_quantity AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <> 0)
   GROUP BY ALL)"""
 
 USER_PANEL_SQL = r"""
 panel AS (
   SELECT user_id AS code, CAST(ts AS DATE) AS date,
     arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
-    sum(size) AS volume, sum(value * size) AS amount, sum(value * size) / sum(size) AS vwap, CAST(user_id % 5 AS INT) AS sector
+    sum(size) AS volume, sum(value * size) AS amount, sum(value * size) / nullif(sum(size), 0) AS vwap, CAST(user_id % 5 AS INT) AS sector
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS size FROM events)
   GROUP BY ALL)"""
 

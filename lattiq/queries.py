@@ -425,7 +425,7 @@ def weights_softmax(spark, sf_dir):
     return p.withColumn("weight", F.col("e") / F.sum("e").over(at)).select("date", "code", _r("weight"))
 
 
-def _catalog(spark: SparkSession) -> DataFrame:
+def catalogue(spark: SparkSession) -> DataFrame:
     """The factor catalogue: name, family and the columns each expression reads; a few hundred rows made from the library itself."""
     rows = []
     for family, exprs in {"alpha101": _alphas, "short": _short, "academic": factors.academic(), "bar": factors.bar_shapes(), **{f"window_{n}": factors.window_features(n) for n in factors.WINDOWS}}.items():
@@ -434,12 +434,6 @@ def _catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, family string, columns array<string>")
 
 
-@query()
-def catalog_columns_by_family(spark, sf_dir):
-    c = _catalog(spark).select("family", F.explode("columns").alias("column"))
-    return c.groupBy("family").pivot("column", ["open", "high", "low", "close", "volume", "amount", "vwap"]).count().na.fill(0)
-
-
 # ------------------------------------------------------------------------------------------------------- benches, options
 
 from .operators import bench as B  # noqa: E402
@@ -508,11 +502,11 @@ from .plans import fundamental  # noqa: E402
 
 def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-ins for accounts on the brand panel: the bar's return, the unexplained turnover and the mean price."""
-    return brand_panel(spark, sf_dir).withColumns({"roe": F.col("close") / F.col("open") - 1, "accruals": F.when(F.col("volume") > 20, F.col("amount") - F.col("close") * F.col("volume")), "bvps": F.col("vwap")})
+    return brand_panel(spark, sf_dir).withColumns({"roe": F.try_divide("close", "open") - 1, "accruals": F.when(F.col("volume") > 20, F.col("amount") - F.col("close") * F.col("volume")), "bvps": F.col("vwap")})
 
 
 @query(Compiler(fundamental.fundamentals()).to_sql(
-    BRAND_PANEL_SQL.replace("panel AS", "panel0 AS", 1) + ",\npanel AS (SELECT *, close / open - 1 AS roe, CASE WHEN volume > 20 THEN amount - close * volume END AS accruals, vwap AS bvps FROM panel0)"
+    BRAND_PANEL_SQL.replace("panel AS", "panel0 AS", 1) + ",\npanel AS (SELECT *, close / nullif(open, 0) - 1 AS roe, CASE WHEN volume > 20 THEN amount - close * volume END AS accruals, vwap AS bvps FROM panel0)"
 ))
 def zoo_fundamental(spark, sf_dir):
     exprs = fundamental.fundamentals()

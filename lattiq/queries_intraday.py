@@ -32,20 +32,20 @@ _MINUTES = """minutes AS (SELECT event_type AS code, CAST(ts AS DATE) AS date, t
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))"""
 
 _DAILY_SQL = f"""{_MINUTES},
-a AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY code, date) AS n, ln(close / lag(close) OVER w) AS r, volume - lag(volume) OVER w AS dv, (high - low) / close AS amp, close / lag(close, 5) OVER w - 1 AS ret5,
-    (close / min(close) OVER u - 1 + max(close) OVER u / close - 1) / 2 AS pos, CASE WHEN count(*) OVER f = 5 THEN sum(volume) OVER f END AS sum5
+a AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY code, date) AS n, ln(nullif(close, 0) / nullif(lag(close) OVER w, 0)) AS r, volume - lag(volume) OVER w AS dv, (high - low) / nullif(close, 0) AS amp, close / nullif(lag(close, 5) OVER w, 0) - 1 AS ret5,
+    (close / nullif(min(close) OVER u, 0) - 1 + max(close) OVER u / nullif(close, 0) - 1) / 2 AS pos, CASE WHEN count(*) OVER f = 5 THEN sum(volume) OVER f END AS sum5
   FROM minutes WINDOW w AS (PARTITION BY code, date ORDER BY ts, event_id), u AS (PARTITION BY code, date ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY code, date ORDER BY ts, event_id ROWS 4 PRECEDING)),
-b AS (SELECT *, CASE WHEN count(r) OVER f = 5 THEN stddev_pop(r) OVER f END AS v5, lag(sum5) OVER w AS sum5_before, avg(dv) OVER d AS mu, stddev_pop(dv) OVER d AS sd, CASE WHEN r IS NOT NULL THEN abs(r) / sqrt(volume) END AS s
+b AS (SELECT *, CASE WHEN count(r) OVER f = 5 THEN stddev_pop(r) OVER f END AS v5, lag(sum5) OVER w AS sum5_before, avg(dv) OVER d AS mu, stddev_pop(dv) OVER d AS sd, CASE WHEN volume > 0 THEN abs(r) / sqrt(volume) END AS s, CASE WHEN r IS NOT NULL AND volume > 0 THEN volume END AS tv
   FROM a WINDOW w AS (PARTITION BY code, date ORDER BY i), f AS (PARTITION BY code, date ORDER BY i ROWS 4 PRECEDING), d AS (PARTITION BY code, date)),
 c AS (SELECT *, CASE WHEN count(v5) OVER f = 5 THEN stddev_pop(v5) OVER f END AS amb FROM b WINDOW f AS (PARTITION BY code, date ORDER BY i ROWS 4 PRECEDING)),
-rk AS (SELECT code, date, i, row_number() OVER (PARTITION BY code, date ORDER BY r, i) AS kr, row_number() OVER (PARTITION BY code, date ORDER BY pos, i) AS kp, sum(volume) OVER (PARTITION BY code, date ORDER BY s DESC, i ROWS UNBOUNDED PRECEDING) AS cum, sum(volume) OVER (PARTITION BY code, date) AS traded FROM c WHERE i > 1),
+rk AS (SELECT code, date, i, row_number() OVER (PARTITION BY code, date ORDER BY r NULLS LAST, i) AS kr, row_number() OVER (PARTITION BY code, date ORDER BY pos NULLS LAST, i) AS kp, sum(tv) OVER (PARTITION BY code, date ORDER BY s DESC NULLS LAST, i ROWS UNBOUNDED PRECEDING) AS cum, sum(tv) OVER (PARTITION BY code, date) AS traded FROM c WHERE i > 1),
 e AS (SELECT c.*, kr, kp, cum, traded, avg(amb) OVER (PARTITION BY code, date) AS amb_mean, sum5 > sum5_before AND ret5 < 0 AND i >= 6 AND i <= n - 3 AS rapid, dv > mu + sd AS up, dv < mu - sd AS down, coalesce(volume > 2 * sum5 / 5, FALSE) AS spike FROM c LEFT JOIN rk USING (code, date, i)),
 g AS (SELECT code, date, max(n) AS n, sum((2 * kr - n) * volume) AS g1, sum((2 * kp - n) * volume) AS g2, sum((2 * kr - n) * amp) AS g3, count(amb) AS na,
     covar_pop(amb, amount) AS cv, stddev_pop(amb) AS s1, stddev_pop(amount) FILTER (amb IS NOT NULL) AS s2,
     avg(amount) FILTER (amb > amb_mean) / (avg(amount) FILTER (amb IS NOT NULL) + 1e-10) AS ra, avg(volume) FILTER (amb > amb_mean) / (avg(volume) FILTER (amb IS NOT NULL) + 1e-10) AS rv,
-    max(sd) AS sd, count(*) FILTER (up) AS nu, count(*) FILTER (down) AS nd, ln(arg_max(close, i) / arg_min(close, i)) AS dr, abs(avg(v5) FILTER (up) - avg(v5) FILTER (down)) AS bd, abs(avg(r) FILTER (up) - avg(r) FILTER (down)) AS sy,
-    avg(2 * (exp(r) - 1 - r) - r * r) AS jump, count(*) FILTER (rapid) AS nr, sum(amount) FILTER (rapid) / sum(amount) - sum(volume) FILTER (rapid) / sum(volume) AS fl, count(s) AS ns,
-    sum(close * volume) FILTER (cum - volume < 0.2 * traded) / sum(volume) FILTER (cum - volume < 0.2 * traded) / (sum(close * volume) FILTER (i > 1) / sum(volume) FILTER (i > 1)) AS q,
+    max(sd) AS sd, count(*) FILTER (up) AS nu, count(*) FILTER (down) AS nd, ln(nullif(arg_max(close, i), 0) / nullif(arg_min(close, i), 0)) AS dr, abs(avg(v5) FILTER (up) - avg(v5) FILTER (down)) AS bd, abs(avg(r) FILTER (up) - avg(r) FILTER (down)) AS sy,
+    avg(2 * (exp(r) - 1 - r) - r * r) AS jump, count(*) FILTER (rapid) AS nr, sum(amount) FILTER (rapid) / nullif(sum(amount), 0) - sum(volume) FILTER (rapid) / nullif(sum(volume), 0) AS fl, count(s) AS ns,
+    sum(close * tv) FILTER (cum - tv < 0.2 * traded) / nullif(sum(tv) FILTER (cum - tv < 0.2 * traded), 0) / nullif(sum(close * tv) / nullif(sum(tv), 0), 0) AS q,
     avg(amp) FILTER (spike) AS sp, avg(amp) FILTER (NOT spike) AS ca FROM e GROUP BY ALL),
 h AS (SELECT code, date, CASE WHEN count(*) FILTER (v > 0) >= 10 THEN -sum(v / t * log2(v / t)) END AS entropy FROM (SELECT *, sum(v) OVER (PARTITION BY code, date) AS t FROM (SELECT code, date, least(47, (i - 1) // (n // 48)) AS b, sum(volume) AS v FROM a WHERE n >= 48 GROUP BY ALL)) GROUP BY ALL),
 daily AS (SELECT code, date, CASE WHEN n > 20 THEN g1 END AS game_ret, CASE WHEN n > 20 THEN g2 END AS game_pos, CASE WHEN n > 20 THEN g3 END AS game_amp,
@@ -79,7 +79,7 @@ _BARS = ("coin_team", "overnight", "divergence", "amihud", "downside", "percenti
 
 
 @query(f"""WITH {BRAND_PANEL_SQL},
-a AS (SELECT *, close / lag(close) OVER w - 1 AS inter, close / open - 1 AS intra, open / lag(close) OVER w - 1 AS night, ln(close / lag(close) OVER w) AS logr, CASE WHEN count(*) OVER t >= 5 THEN volume / avg(volume) OVER t END AS turn
+a AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS inter, close / nullif(open, 0) - 1 AS intra, open / nullif(lag(close) OVER w, 0) - 1 AS night, ln(nullif(close, 0) / nullif(lag(close) OVER w, 0)) AS logr, CASE WHEN count(*) OVER t >= 5 THEN volume / nullif(avg(volume) OVER t, 0) END AS turn
   FROM panel WINDOW w AS (PARTITION BY code ORDER BY date), t AS (PARTITION BY code ORDER BY date ROWS 19 PRECEDING)),
 b AS (SELECT *, avg(inter) OVER (PARTITION BY date) AS market, turn - lag(turn) OVER (PARTITION BY code ORDER BY date) AS tc, CASE WHEN count(inter) OVER t >= 5 THEN stddev_samp(inter) OVER t END AS si, CASE WHEN count(intra) OVER t >= 5 THEN stddev_samp(intra) OVER t END AS sa,
     CASE WHEN count(night) OVER t >= 5 THEN stddev_samp(night) OVER t END AS sn FROM a WINDOW t AS (PARTITION BY code ORDER BY date ROWS 19 PRECEDING)),
@@ -92,7 +92,7 @@ d AS (SELECT code, date, ((CASE WHEN count(inter) OVER t >= 5 THEN sum(inter) OV
     CASE WHEN count(inter) OVER t = 20 THEN avg(abs(inter) / nullif(volume, 0)) OVER t END AS amihud, CASE WHEN count(inter) OVER t >= 10 THEN sqrt(avg(CASE WHEN inter IS NOT NULL THEN pow(least(inter, 0), 2) END) OVER t) END AS downside,
     CASE WHEN count(close) OVER q >= 20 THEN len(list_filter(list(close) OVER q, lambda x: x < close)) / count(close) OVER q END AS percentile,
     CASE WHEN np = 20 THEN sqrt(greatest(vi + pow(cm / CASE WHEN vm > 1e-18 THEN vm END, 2) * vm - 2 * cm / CASE WHEN vm > 1e-18 THEN vm END * cm, 0)) END AS idio_vol,
-    CASE WHEN count(logr) OVER t = 20 THEN avg(logr) OVER t END AS reversal_equal, CASE WHEN count(logr) OVER t = 20 THEN sum(logr * volume) OVER t / sum(CASE WHEN logr IS NOT NULL THEN volume END) OVER t END AS reversal_volume
+    CASE WHEN count(logr) OVER t = 20 THEN avg(logr) OVER t END AS reversal_equal, CASE WHEN count(logr) OVER t = 20 THEN sum(logr * volume) OVER t / nullif(sum(CASE WHEN logr IS NOT NULL THEN volume END) OVER t, 0) END AS reversal_volume
   FROM c WINDOW t AS (PARTITION BY code ORDER BY date ROWS 19 PRECEDING), q AS (PARTITION BY code ORDER BY date ROWS 59 PRECEDING))
 SELECT code, date, {_sqlr(*_BARS)} FROM d""")
 def daily_bar_factors(spark, sf_dir):
@@ -201,9 +201,9 @@ def research_gpd_fit(spark, sf_dir):
 
 @query(f"""WITH {_MINUTES}, t AS (SELECT *, code IN ('purchase', 'signup') AS buys, close - lag(close) OVER w AS st, lag(volume) OVER w AS before, (close - min(close) OVER d) / (max(close) OVER d - min(close) OVER d + 1e-12) AS p, (volume - min(volume) OVER d) / (max(volume) OVER d - min(volume) OVER d + 1e-12) AS v
   FROM minutes WINDOW w AS (PARTITION BY date ORDER BY ts, event_id), d AS (PARTITION BY date)),
-m AS (SELECT *, CASE WHEN abs(st) > 1e-9 THEN ln(volume) END AS x, CASE WHEN abs(st) > 1e-9 THEN ln(abs(st) + 1e-12) END AS y FROM t)
+m AS (SELECT *, CASE WHEN abs(st) > 1e-9 AND volume > 0 THEN ln(volume) END AS x, CASE WHEN abs(st) > 1e-9 AND volume > 0 THEN ln(abs(st) + 1e-12) END AS y FROM t)
 SELECT date, count(*) AS n, round(coalesce(corr(CASE WHEN before IS NOT NULL THEN volume END, before), 0) + {NUDGE}, 6) AS volume_autocorr, round(CASE WHEN count(x) > 5 THEN regr_intercept(y, x) ELSE 0 END + {NUDGE}, 6) AS impact_intercept,
-  round(sqrt(sum((p - v) * (p - v))) / count(*) + {NUDGE}, 6) AS path_distance, round(quantile_cont(abs(st), 0.5) + {NUDGE}, 6) AS median_step, round(coalesce(sum(volume) FILTER (buys), 0) / sum(volume) + {NUDGE}, 6) AS buy_share FROM m GROUP BY date HAVING count(*) >= 10""")
+  round(sqrt(sum((p - v) * (p - v))) / count(*) + {NUDGE}, 6) AS path_distance, round(quantile_cont(abs(st), 0.5) + {NUDGE}, 6) AS median_step, round(coalesce(coalesce(sum(volume) FILTER (buys), 0) / nullif(sum(volume), 0), 0) + {NUDGE}, 6) AS buy_share FROM m GROUP BY date HAVING count(*) >= 10""")
 def research_tick_structure(spark, sf_dir):
     t = minutes(spark, sf_dir).withColumn("side", F.when(F.col("code").isin("purchase", "signup"), 1).otherwise(-1))
     s = research.tick_structure(t, ["date"], _ORDER, "close", "volume", "side")
@@ -230,25 +230,10 @@ n AS (SELECT *, g * d1 AS x1, g * (d1 - root) AS x2, exp(-d1 * d1 / 2) / sqrt(2
 SELECT id, {', '.join(f'round({e} + {NUDGE}, 6) AS {n}' for n, e in {'price': 'g * (s * n1 - dk * n2)', 'delta': 'g * n1', 'gamma': 'f / (s * root)', 'theta': '(-s * f * v / (2 * sqrt(t)) - g * 0.03 * dk * n2) / 365', 'vega': 's * f * sqrt(t) / 100'}.items())} FROM c"""
 
 
-def _catalog_sql() -> str:
-    from . import queries as Q
-    from .plans import factors
-
-    rows = []
-    for family, exprs in {"alpha101": Q._alphas, "short": Q._short, "academic": factors.academic(), "bar": factors.bar_shapes(), **{f"window_{n}": factors.window_features(n) for n in factors.WINDOWS}}.items():
-        for e in exprs.values():
-            rows += [(family, c) for c in sorted({x.param[0] for x in Compiler({"x": e}).order if x.op == "col"})]
-    counts = ", ".join(f"count(*) FILTER (c = '{c}') AS {c}" for c in ("open", "high", "low", "close", "volume", "amount", "vwap"))
-    return f"WITH v(family, c) AS (VALUES {', '.join(f'({f!r}, {c!r})' for f, c in rows)}) SELECT family, {counts} FROM v GROUP BY family"
-
-
-ORACLES["catalog_columns_by_family"] = _catalog_sql()
-
-
 @query(f"""WITH RECURSIVE {_MINUTES}, m AS (SELECT code, date, volume, row_number() OVER w AS i, count(*) OVER (PARTITION BY code, date) AS n, coalesce(sum(volume) OVER (PARTITION BY code, date ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) AS later FROM minutes WINDOW w AS (PARTITION BY code, date ORDER BY ts, event_id)),
 top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY code, date ORDER BY volume DESC, i) <= 10), hop AS (SELECT a.code, a.date, a.i, min(b.i) AS then FROM top a LEFT JOIN top b ON a.code = b.code AND a.date = b.date AND b.i > a.i + 5 GROUP BY 1, 2, 3),
 taken AS (SELECT code, date, min(i) AS i FROM top GROUP BY 1, 2 UNION ALL SELECT h.code, h.date, h.then FROM taken k JOIN hop h ON h.code = k.code AND h.date = k.date AND h.i = k.i WHERE h.then IS NOT NULL),
-f AS (SELECT code, date, avg(later / volume) AS follow, count(*) AS peaks FROM taken JOIN top USING (code, date, i) GROUP BY 1, 2), d AS (SELECT code, date, max(n) AS n FROM m GROUP BY 1, 2), r AS (SELECT code, date, CASE WHEN n >= 30 AND peaks >= 2 THEN follow END AS follow FROM d LEFT JOIN f USING (code, date)) SELECT code, date, {_sqlr('follow')} FROM r""")
+f AS (SELECT code, date, avg(later / nullif(volume, 0)) AS follow, count(*) AS peaks FROM taken JOIN top USING (code, date, i) GROUP BY 1, 2), d AS (SELECT code, date, max(n) AS n FROM m GROUP BY 1, 2), r AS (SELECT code, date, CASE WHEN n >= 30 AND peaks >= 2 THEN follow END AS follow FROM d LEFT JOIN f USING (code, date)) SELECT code, date, {_sqlr('follow')} FROM r""")
 def intraday_followed_peaks(spark, sf_dir):
     return intraday.followed_peaks(minutes(spark, sf_dir), _ORDER).select("code", "date", _r("follow"))
 

@@ -227,7 +227,7 @@ def chip_structure(spark, sf_dir):
     from pyspark.sql import Window as W
 
     p = brand_panel(spark, sf_dir)
-    share = 100 * F.col("volume") / F.sum("volume").over(W.partitionBy("code").orderBy("date").rowsBetween(-59, 0))
+    share = 100 * F.try_divide("volume", F.sum("volume").over(W.partitionBy("code").orderBy("date").rowsBetween(-59, 0)))
     return chips.chip_structure(p.withColumn("turnover", share)).select("code", "date", *(_r(n, 4) for n in chips.FIELDS))
 
 
@@ -267,7 +267,7 @@ def _terms_sql(text: str, defaults: tuple) -> str:
     return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in market_rules._rows(text, defaults))
 
 
-_LINES_SQL = "SELECT l_orderkey AS id, l_linenumber AS line, {} AS symbol, CAST(l_quantity AS DOUBLE) AS size, CAST(l_extendedprice AS DOUBLE) / l_quantity AS price, l_discount * 2 - 0.1 AS change, CASE WHEN l_linenumber % 3 = 2 THEN -1 ELSE l_linenumber % 3 END AS direction, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS held FROM lineitem"
+_LINES_SQL = "SELECT l_orderkey AS id, l_linenumber AS line, {} AS symbol, CAST(l_quantity AS DOUBLE) AS size, CAST(l_extendedprice AS DOUBLE) / nullif(l_quantity, 0) AS price, l_discount * 2 - 0.1 AS change, CASE WHEN l_linenumber % 3 = 2 THEN -1 ELSE l_linenumber % 3 END AS direction, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS held FROM lineitem"
 _MAY = "NOT coalesce(CASE WHEN direction = 1 THEN change >= price_limit - 0.001 WHEN direction = -1 THEN change <= 0.001 - price_limit WHEN held > 0 THEN change <= 0.001 - price_limit ELSE change >= price_limit - 0.001 END, FALSE)"
 
 
@@ -275,7 +275,7 @@ def _lines(spark, sf_dir, names: tuple[str, ...]):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     three = F.col("l_linenumber") % 3
     return l.select(
-        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), _pick(names, "l_partkey").alias("symbol"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_extendedprice").cast("double") / F.col("l_quantity")).alias("price"),
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), _pick(names, "l_partkey").alias("symbol"), F.col("l_quantity").cast("double").alias("size"), F.try_divide(F.col("l_extendedprice").cast("double"), "l_quantity").alias("price"),
         (F.col("l_discount") * 2 - 0.1).alias("change"), F.when(three == 2, -1).otherwise(three).alias("direction"), F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(-1).alias("held"),
     )
 

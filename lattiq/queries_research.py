@@ -240,12 +240,12 @@ def strategy_bars_since_cross(spark, sf_dir):
     return strategies.with_bars_since_cross(p, "fast", "slow").select("code", "date", "bars_since_cross")
 
 
-@query(f"""WITH {BRAND_PANEL_SQL}, r AS (SELECT code, date, ln(close / lag(close) OVER (PARTITION BY code ORDER BY date)) / 100 AS r FROM panel), y AS (SELECT year(date) AS year, date, 0.7 * coalesce(max(r) FILTER (code = 'Brand#11'), 0) + 0.25 * coalesce(max(r) FILTER (code = 'Brand#12'), 0) + 0.05 * coalesce(max(r) FILTER (code = 'Brand#13'), 0) AS r FROM r GROUP BY date),
+@query(f"""WITH {BRAND_PANEL_SQL}, r AS (SELECT code, date, ln(nullif(close, 0) / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0)) / 100 AS r FROM panel), y AS (SELECT year(date) AS year, date, 0.7 * coalesce(max(r) FILTER (code = 'Brand#11'), 0) + 0.25 * coalesce(max(r) FILTER (code = 'Brand#12'), 0) + 0.05 * coalesce(max(r) FILTER (code = 'Brand#13'), 0) AS r FROM r GROUP BY date),
 e AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY year ORDER BY date)) AS e FROM y), f AS (SELECT *, e / greatest(1, max(e) OVER (PARTITION BY year ORDER BY date)) - 1 AS fall FROM e), g AS (SELECT year, exp(sum(ln(1 + r))) - 1 AS ret, stddev_samp(r) * sqrt(252) AS volatility, min(fall) AS max_fall, count(*) AS n FROM f GROUP BY 1) SELECT year, {_sqlr('ret', 'volatility', 'max_fall')}, n FROM g""")
 def strategy_allocation(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    own = F.log(F.col("close") / F.lag("close").over(W.partitionBy("code").orderBy("date"))) / 100
+    own = F.log(F.try_divide("close", F.lag("close").over(W.partitionBy("code").orderBy("date")))) / 100
     r = brand_panel(spark, sf_dir).select("code", "date", own.alias("r"))
     parts = {"Brand#11": 0.7, "Brand#12": 0.25, "Brand#13": 0.05}
     wide = r.groupBy("date").agg(*(F.max(F.when(F.col("code") == b, F.col("r"))).alias(f"w{i}") for i, b in enumerate(parts)))

@@ -17,7 +17,7 @@ from lattiq.operators import indicators, joins, simulation, validation  # noqa:
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["op_rank", "op_ts_rank", "op_ts_corr", "op_decay_linear", "op_neutralize", "op_ts_quantile", "zoo_bar_shapes", "zoo_window_5", "eval_ic_summary", "join_asof", "join_decayed_events", "metrics_curve", "set_operations", "backtest_portfolio_returns",
-           "intraday_daily_factors", "daily_bar_factors", "signal_candlesticks", "research_tick_structure", "research_stacked_ridge", "eval_lifecycle", "eval_factor_correlation", "text_search", "option_prices", "catalog_columns_by_family"]
+           "intraday_daily_factors", "daily_bar_factors", "signal_candlesticks", "research_tick_structure", "research_stacked_ridge", "eval_lifecycle", "eval_factor_correlation", "text_search", "option_prices"]
 
 
 @pytest.fixture(scope="module")
