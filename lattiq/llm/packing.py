@@ -17,6 +17,8 @@ LENGTH = 4096
 END_ID = 2
 #: Documents in a randomised group on average.
 GROUP_DOCS = 2048
+#: Equal rows that go to one group together.
+REPEATS = 64
 #: Words whose ids a Python worker keeps at most; beyond that it starts anew.
 CACHE_WORDS = 300_000
 
@@ -135,17 +137,20 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """Packs all documents: a row per piece with sequence_id and offset; a sequence holds at most length ids and is padded to it by the reader.
 
     Groups are drawn by a hash of document, position and content, about group_docs documents each whatever the corpus size, and packed apart, so their ids never meet in
-    one task; only piece rows are shuffled, never ids. Ties in size go by document and start. An empty table gives no rows. Other columns are not read.
+    one task; only piece rows are shuffled, never ids. Equal rows are counted first and dealt out in runs of at most REPEATS, so a row that very many repeat is no group of its own. Ties in size go by document and start. An empty table gives no rows. Other columns are not read.
     """
     groups = max(1, -(-df.count() // group_docs))
     cut_up = pieces(df, tokenizer, id_col, text_col, length, end_id)
-    cut_up = cut_up.withColumn("_group", F.pmod(F.xxhash64(id_col, "start", "ids_crc32", F.lit("pack")), F.lit(groups)))
+    cut_up = cut_up.groupBy(*cut_up.columns).agg(F.count(F.lit(1)).alias("_n"))
+    cut_up = cut_up.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(REPEATS).cast("long"))))
+    cut_up = cut_up.withColumn("_group", F.pmod(F.xxhash64(id_col, "start", "ids_crc32", "_from", F.lit("pack")), F.lit(groups)))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.loc[rows.index.repeat((rows["_n"] - rows["_from"]).clip(upper=REPEATS))]
         rows = rows.sort_values(["length", id_col, "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(rows["length"].tolist(), length)
         rows["sequence_id"], rows["offset"] = [(key[0] << 32) + b for b in bins], offsets
-        return rows.drop(columns="_group")
+        return rows.drop(columns=["_group", "_n", "_from"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return cut_up.groupBy("_group").applyInPandas(run, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
