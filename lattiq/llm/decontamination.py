@@ -15,8 +15,6 @@ from .common import Words, mix, slices, table, text_buffers
 
 #: Words of a seed; items too short for pairs to be sure of a hit are seeded by single words.
 GRAM = 2
-#: Shorter items can't be found.
-LEAST_WORDS = 3
 #: Alignment score over the score of a perfect copy, from which on a document counts as contaminated.
 CUTOFF = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -73,7 +71,7 @@ class Items:
         pairs = least_grams(n, cutoff, GRAM)
         by_pairs = pairs >= 1
         grams = []
-        for size, of_items in ((1, ~by_pairs & (n >= LEAST_WORDS)), (GRAM, by_pairs & (n >= LEAST_WORDS))):
+        for size, of_items in ((1, ~by_pairs), (GRAM, by_pairs)):
             h, at = _grams(w.hash, w.doc, size)
             keep = of_items[w.doc[at]]
             grams.append((h[keep], w.doc[at][keep]))
@@ -208,8 +206,8 @@ def _seeds(items: Items, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, pd
 def contaminations(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """A row per document and test item found in it: id, item, score (share of a perfect alignment), start_word and end_word (about where, in words of letters and digits).
 
-    Case and punctuation don't count. Null or empty documents and items match nothing, and an item of fewer than three words can't be found; repeated rows each give their rows; an
-    empty table on either side gives none. Any other item with an alignment of cutoff or more is found, whatever its edits. Documents are read twice, without a shuffle: once for the n-gram counts, once for seeds and alignment.
+    Case and punctuation don't count. Null or empty documents and items, and items without a word, match nothing; an item of one word is found wherever that word stands, one of two words where both stand in order with a word between them at most; repeated rows each give their rows; an
+    empty table on either side gives none. Every item with an alignment of cutoff or more is found, whatever its edits. Documents are read twice, without a shuffle: once for the n-gram counts, once for seeds and alignment.
     """
     kinds = f"{id_col} {documents.schema[id_col].dataType.simpleString()}, {item_col} {benchmark.schema[item_col].dataType.simpleString()}"
     item_type = benchmark.schema[item_col].dataType
