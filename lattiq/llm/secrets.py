@@ -15,8 +15,8 @@ HEX = r"[0-9a-f]{24,}"
 HINT_ASSIGN = r"(?i:passw|secret|token|api_?key)"
 #: Matches of a text whose places are summed up in one list; a text with more has several lists.
 RUN = 512
-#: A credential seen with at most so many owners counts as live, in however many documents of theirs it is.
-MOST_OWNERS = 1
+#: A credential counts as copied from place to place if it has more owners, and is in more repositories, than this number and than this share of all owners of the corpus. All others count as live.
+MOST_OWNERS, OWNERS_SHARE = 2, 1e-4
 
 
 _NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
@@ -65,39 +65,37 @@ def _credential(kind: Column, hit: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """candidates (secret, owner) -> secret, owners: distinct owners over the whole corpus.
+    """candidates (secret, owner, repository) -> secret, owners, repositories: distinct ones over the whole corpus.
 
-    Copies of a secret with one owner are merged before anything is counted, map side first, so a widely copied example costs one row per owner and task at most.
+    Equal candidates are merged in each task before anything is counted, so a widely copied example costs a row per owner, repository and task at most.
     """
-    return candidates.select("secret", "owner").distinct().groupBy("secret").agg(F.count("owner").alias("owners"))
+    return candidates.groupBy("secret").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """Per document: id, base (spans by pattern), live (spans of credentials that belong to one owner), copied (number of spans of widely copied credentials).
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = MOST_OWNERS, owners_share: float = OWNERS_SHARE) -> DataFrame:
+    """Per document: id, base (spans by pattern), live (spans of credentials that aren't widely copied), copied (number of spans of widely copied ones), owners and repositories (the most that any of its credentials has, 0 without one).
 
-    Null texts are empty, null owners and repositories count as one nameless owner and repository. Only owners decide: copies of a document, and many documents with one
-    owner's key, leave it live. Documents without a span keep empty arrays. Rows with one id are judged each by their own spans: whether a span is live follows from its credential. Other columns are
-    not read. The corpus-wide count works on hashes of candidates, so only documents with a candidate are shuffled.
+    A credential is widely copied if it has more than most_owners owners and is in more than so many repositories, and more than the share owners_share of all owners: what two owners have in common, or one owner has in
+    very many repositories, is live. Null texts are empty, null owners and repositories count as one nameless owner and repository. Rows with one id, equal ones and those with a null id included, are judged each by its own
+    spans. Documents without a span keep empty arrays. Other columns are not read. The corpus-wide count works on hashes of candidates, so only documents with a candidate are shuffled, and each meets the counts
+    in a join with one row per credential on their side, which adaptive execution splits where a credential is in very many documents.
     """
-    return _scan(df, id_col, text_col, owner_col, repository_col, most_owners).drop("_text_hash")
+    return _scan(df, id_col, text_col, owner_col, repository_col, most_owners, owners_share).drop("_text_hash")
 
 
-def _scan(df: DataFrame, id_col: str, text_col: str, owner_col: str, repository_col: str, most_owners: int) -> DataFrame:
+def _scan(df: DataFrame, id_col: str, text_col: str, owner_col: str, repository_col: str, most_owners: int, owners_share: float) -> DataFrame:
     owner, repository = F.coalesce(F.col(owner_col).cast("string"), F.lit("")), F.coalesce(F.col(repository_col).cast("string"), F.lit(""))
     own = df.select(F.col(id_col), F.col(text_col), owner.alias("_owner"), repository.alias("_repository"), F.xxhash64(text_col).alias("_text_hash"))
-    rows = cut(base_spans(own, id_col, text_col, ("_owner", "_repository", "_text_hash")))
-    some = rows.where(F.size("found") > 0).select(F.col(id_col), "_owner", "_repository", F.posexplode("found").alias("_pos", "span"))
-    secret = F.sha2(_credential(F.col("span.kind"), F.col("span.value")), 256)
-    some = some.withColumn("secret", secret)
-    counts = ownership(some.select("secret", F.col("_owner").alias("owner")))
-    live = counts.where(F.col("owners") <= most_owners).select("secret")
-    # Copied secrets need no join back. A live one may be in very many documents, whose rows only the skew handling of adaptive execution splits in the join.
-    at = some.join(live, "secret").groupBy(id_col, "_repository").agg(F.array_sort(F.collect_set("span")).alias("live"))
-    at = at.withColumnRenamed(id_col, "_id").withColumnRenamed("_repository", "_of")
-    full = rows.where(F.size("found") > 0).join(at, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_repository") == F.col("_of")), "left").drop("_id", "_of")
-    full = full.select(id_col, "_text_hash", "found", F.array_intersect("found", F.coalesce("live", F.slice("found", 1, 0))).alias("live"))
-    bare = rows.where(F.size("found") == 0).select(id_col, "_text_hash", "found", F.col("found").alias("live"))
-    return full.unionByName(bare).select(id_col, "_text_hash", F.col("found").alias("base"), "live", (F.size("found") - F.size("live")).alias("copied"))
+    rows = cut(base_spans(own, id_col, text_col, ("_owner", "_repository", "_text_hash")).withColumn("_row", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
+    bound = max(most_owners, owners_share * rows.agg(F.count_distinct("_owner")).first()[0])
+    some = rows.where(F.size("found") > 0).select("_row", "_owner", "_repository", F.explode("found").alias("span"))
+    some = some.withColumn("secret", F.sha2(_credential(F.col("span.kind"), F.col("span.value")), 256))
+    counts = ownership(some.select("secret", F.col("_owner").alias("owner"), F.col("_repository").alias("repository")))
+    copied = (F.col("owners") > bound) & (F.col("repositories") > bound)
+    at = some.select("_row", "span", "secret").join(counts, "secret").groupBy("_row").agg(F.collect_list(F.when(~copied, F.col("span"))).alias("_live"), F.max("owners").alias("owners"), F.max("repositories").alias("repositories"))
+    full = rows.where(F.size("found") > 0).join(at, "_row").select(id_col, "_text_hash", "found", F.array_sort("_live").alias("live"), "owners", "repositories")
+    bare = rows.where(F.size("found") == 0).select(id_col, "_text_hash", "found", F.col("found").alias("live"), F.lit(0).cast("long").alias("owners"), F.lit(0).cast("long").alias("repositories"))
+    return full.unionByName(bare).select(id_col, "_text_hash", F.col("found").alias("base"), "live", (F.size("found") - F.size("live")).alias("copied"), "owners", "repositories")
 
 
 def _line(spans: Column) -> Column:
@@ -105,11 +103,11 @@ def _line(spans: Column) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The counts and joined spans of the contract; a live span is listed once more under the kind live, after the base kinds at its start."""
+    """The counts and joined spans of the contract, and the most owners and repositories of a credential; a live span is listed once more under the kind live, after the base kinds at its start."""
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     live = F.transform("live", lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), s["end"].alias("end"), F.lit("live").alias("kind"), F.lit("").alias("value")))
     return found.select(
-        id_col, n("assign"), n("access"), n("hex"), F.sha2(_line(F.col("base")), 256).alias("base_sha256"), _line(F.array_sort(F.array_distinct(F.concat("base", live)))).alias("spans")
+        id_col, n("assign"), n("access"), n("hex"), F.sha2(_line(F.col("base")), 256).alias("base_sha256"), _line(F.array_sort(F.array_distinct(F.concat("base", live)))).alias("spans"), "owners", "repositories"
     )
 
 
@@ -125,7 +123,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     hint = text.rlike(HINT_ASSIGN) | text.contains("AKIA") | text.rlike(HEX)
-    live = _scan(df, id_col, text_col, owner_col, repository_col, MOST_OWNERS).where(F.size("live") > 0)
+    live = _scan(df, id_col, text_col, owner_col, repository_col, MOST_OWNERS, OWNERS_SHARE).where(F.size("live") > 0)
     live = live.groupBy(F.col(id_col).alias("_id"), F.col("_text_hash").alias("_of")).agg(F.array_sort(F.first("live")).alias("_live"))
     at = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
