@@ -94,7 +94,7 @@ def _lists(token: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, part: int, of: int, classes) -> DataFrame:
-    """id, n (set size), f1 and f2 (fingerprint of the set), prefix: the first tokens, of which any linked set must share one."""
+    """id, k (id_col), n (set size), f1 and f2 (fingerprint of the set), prefix: the first tokens, of which any linked set must share one."""
 
     def run(batches):
         for whole in batches:
@@ -107,10 +107,10 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, part: int,
                 short = n - (part * n + of - 1) // of + 1
                 keep = np.arange(len(token)) - first[doc] < short[doc]
                 bounds = np.concatenate([[0], np.cumsum(np.minimum(short, n))])
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n), pa.array(f1), pa.array(f2), _lists(token[keep], bounds)], names=[id_col, "n", "f1", "f2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column(id_col), pa.array(n), pa.array(f1), pa.array(f2), _lists(token[keep], bounds)], names=["id", id_col, "n", "f1", "f2", "prefix"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, f1 long, f2 long, prefix array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", id_col, text_col).mapInArrow(run, f"id {kind}, {id_col} long, n long, f1 long, f2 long, prefix array<long>")
 
 
 def _close(part: int, of: int, na: str, nb: str, pa_: str, pb: str):
@@ -120,8 +120,8 @@ def _close(part: int, of: int, na: str, nb: str, pa_: str, pb: str):
     return sizes & left
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, classes, part: int, of: int) -> DataFrame:
-    """pairs (a, b) -> a, b, distance (1 - similarity), linked.
+def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, classes, part: int, of: int, repeated: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """pairs (a, b) -> a, b, distance (1 - similarity), linked. repeated: a bitmap with the ids that several rows have, equal ones, of which one is enough.
 
     Sets are built again from the texts of the documents in pairs only (found by a bitmap in the scan), and each meets its pairs in a join: a set with very many partners is
     one row on one side, so adaptive execution splits the other side.
@@ -138,6 +138,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
 
     kind = docs.schema[id_col].dataType.simpleString()
     sets = docs.select(id_col, text_col, id_bit(id_col, bits).alias("_bit")).mapInArrow(run, f"id {kind}, tokens array<long>")
+    if repeated is not None:
+        sets = maybe_in(sets, "id", *repeated, inside=False).unionByName(maybe_in(sets, "id", *repeated).groupBy("id").agg(F.any_value("tokens").alias("tokens")))
     met = pairs.join(sets, pairs["b"] == sets["id"]).select("a", "b", F.col("tokens").alias("_tb"))
     met = met.join(sets, F.col("a") == F.col("id")).select("a", "b", F.size(F.array_intersect("tokens", "_tb")).cast("long").alias("_both"), (F.size("tokens") + F.size("_tb")).cast("long").alias("_sum"))
     union = F.col("_sum") - F.col("_both")
@@ -175,23 +177,47 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """id, n_shingles, component_id: the smallest id reachable by links of similarity part / of or more.
 
     A null text or one without words has an empty set, links with nothing and is its own component; one of fewer words than a shingle is one shingle. Repeated texts share a component.
-    Rows with a null id get a null component unless an equal set has an id. An empty table gives no rows; other columns are not read. Steps:
+    Sets have keys of their own, so rows with a null id link others as any row does, and get the component's id, null if no row of it has one; different texts under one id are different rows, and a repeated row is
+    one set. An empty table gives no rows; other columns are not read. Steps:
 
     1. Documents with equal sets become one set. Only a set's prefix in the order of rarity enters the index lists.
     2. In each list, the set with the earliest place leads; the others are checked against it alone (skipped by size and place). Linked ones share its component, and with it all its answers.
        A very frequent token's list is dealt into parts with leaders of their own, which are checked against one another's first.
     3. Lists whose sets are all in one component by now are skipped whole. In the rest, sets of different components are paired block by block of similar size, skipping places too far back and pairs
-       that the known distances to the leader rule out (the triangle inequality of the Jaccard distance). So every link between components is found, and none inside one is looked for.
+       that the known distances to the leader rule out (the triangle inequality of the Jaccard distance). A place too far back for any set of a block skips that block before it is joined. So every link
+       between components is found, and none inside one is looked for.
     """
-    docs = docs.select(id_col, text_col)
+    return _joined(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size, part, of).select(F.col("id").alias(id_col), "n_shingles", F.col("first.id").alias("component_id"))
+
+
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """64-bit key of a row's id and text; only repeated rows share one."""
+    return F.xxhash64(id_col, text_col)
+
+
+def _joined(docs: DataFrame, size: int, part: int, of: int) -> DataFrame:
+    """docs (id, text) -> id, k (row_key), n_shingles, first: the component's first row as a struct (no_id, id, k), by id, nulls last; a row without words is its own."""
+    id_col, text_col = "k", "text"
+    docs = docs.withColumn("k", row_key("id", "text"))
     passing = Written(docs.sparkSession)
+    try:
+        return _components(docs, id_col, text_col, size, part, of, passing)
+    finally:
+        passing.drop()
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, part: int, of: int, passing: Written) -> DataFrame:
     classes = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text_col, size))
     rows = passing.cut(_prefixes(docs, id_col, text_col, size, part, of, classes))
-    sets = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(id_col).alias("s"), F.any_value("prefix").alias("prefix")).where("s IS NOT NULL")
+    own = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("k"))
+    sets = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("k").alias("s"), F.min(own).alias("first"), F.any_value("prefix").alias("prefix"))
+    twice = passing.cut(rows.where("n > 0").groupBy("k").count().where("count > 1").select("k"))
+    n_twice = twice.count()
+    repeated = id_bitmap(twice, "k", n_twice) if n_twice else None
     postings = sets.select("s", "n", F.posexplode("prefix").alias("pos", "token"))
     star = _stars(postings, passing, *_list_parts(classes.value))
     pairs = cut(star.where(_close(part, of, "n", "np", "pos", "pp")).select(F.col("p").alias("a"), F.col("s").alias("b")).distinct())
-    known = _verify(pairs, docs, id_col, text_col, size, classes, part, of)
+    known = _verify(pairs, docs, id_col, text_col, size, classes, part, of, repeated)
     links = known.where("linked").select("a", "b")
     reached = components(links)
 
@@ -204,7 +230,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     open_ = member.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("token")
     member = member.join(open_, "token").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(of / part)))).cast("int"))
     # A partner is of the same size block or of the next ones up: similar sizes differ by the factor of a block at most.
-    left, right = member.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1, F.col("block") + 2))), member
+    least = lambda b: F.floor(F.exp(b * F.lit(float(np.log(of / part)))) * (1 - 1e-9))  # noqa: E731  sets of block b have as many tokens at least
+    near = F.filter(F.array(F.col("block"), F.col("block") + 1, F.col("block") + 2), lambda b: (of + part) * (F.col("n") - F.col("pos")) >= part * (F.col("n") + F.greatest(F.col("n"), least(b))))
+    left, right = member.withColumn("block", F.explode(near)), member
     slack = 1 - part / of + 1e-9
     both = left.alias("x").join(right.alias("y"), ["token", "block"])
     both = both.where("x.component != y.component AND (x.n < y.n OR (x.n = y.n AND x.s < y.s))").where(_close(part, of, "x.n", "y.n", "x.pos", "y.pos"))
@@ -213,15 +241,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     seen = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut(more.join(seen, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = _verify(more, docs, id_col, text_col, size, classes, part, of).where("linked").select("a", "b")
+        found = _verify(more, docs, id_col, text_col, size, classes, part, of, repeated).where("linked").select("a", "b")
         if not found.isEmpty():  # components known so far stand for their links
             reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-    found = sets.select("f1", "f2", "n", "s").join(reached.select(F.col("node").alias("s"), "component"), "s", "left").select("f1", "f2", "n", F.coalesce("component", "s").alias("_component"))
-    some = rows.where("n > 0").drop("prefix").join(found, ["f1", "f2", "n"], "left").select(id_col, F.col("n").alias("n_shingles"), F.col("_component").alias("component_id"))
-    none = rows.where("n = 0").select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"))
+    found = passing.cut(sets.select("f1", "f2", "n", "s", "first").join(reached.select(F.col("node").alias("s"), "component"), "s", "left"))
+    heads = found.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("_head"))
+    linked = found.where("component IS NOT NULL").join(heads, "component").select("f1", "f2", "n", F.col("_head").alias("first"))
+    found = linked.unionByName(found.where("component IS NULL").select("f1", "f2", "n", "first"))
+    some = rows.where("n > 0").drop("prefix").join(found, ["f1", "f2", "n"]).select("id", "k", F.col("n").alias("n_shingles"), "first")
+    none = rows.where("n = 0").select("id", "k", F.col("n").alias("n_shingles"), own.alias("first"))
     out = cut(some.unionByName(none))
     classes.destroy()
-    passing.drop()
     return out
 
 
@@ -230,14 +260,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, part: int = PART, of: int = OF) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id. Rows with equal id and text are brought to one; different texts under one id are documents of
-    their own, which stay or go with that id. Documents without words, or without an id, stay."""
-    found = join(docs, id_col, text_col, size, part, of)
-    out = drop_ids(docs, found.where(F.col("component_id") != F.col(id_col)).select(id_col), id_col)
-    twice = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    """docs with one document of each component, the one of the smallest id, which a null id never is while there is another. Rows with equal id and text are brought to one; different texts under one id are
+    documents of their own. Documents without words stay, and so do all of them without an id."""
+    found = _joined(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size, part, of)
+    keyed = docs.withColumn("_k", row_key(id_col, text_col))
+    out = drop_ids(keyed, found.where(F.col("first.k") != F.col("k")).select(F.col("k").alias("_k")), "_k")
+    twice = cut(found.where("first.k = k AND (id IS NOT NULL OR n_shingles > 0)").groupBy(F.col("k").alias("_k")).count().where("count > 1").select("_k"))
     n = twice.count()
     if n:
-        bitmap, bits = id_bitmap(twice, id_col, n)
-        rest = maybe_in(out, id_col, bitmap, bits)
-        out = maybe_in(out, id_col, bitmap, bits, inside=False).unionByName(rest.where(F.col(id_col).isNull())).unionByName(rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))
-    return out
+        bitmap, bits = id_bitmap(twice, "_k", n)
+        rest = maybe_in(out, "_k", bitmap, bits)
+        stay = rest.join(twice, "_k", "left_anti").select(*out.columns)
+        out = maybe_in(out, "_k", bitmap, bits, inside=False).unionByName(stay).unionByName(rest.join(twice, "_k", "left_semi").select(*out.columns).dropDuplicates(["_k"]))
+    return out.drop("_k")

@@ -620,6 +620,29 @@ def test_jaccard_components_by_hand(spark, docs, none, rows, seed, monkeypatch):
         assert jaccard.join(none).count() == 0
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(200)]
+    line = rng.choices(words, k=120)
+    bridge = [*line[:6], *line[7:]]  # a, bridge and c form a chain
+    a, c = [*line[:3], "a1", *line[4:]], [*bridge[:100], "c1", *bridge[101:]]
+    a, bridge, c = " ".join(a), " ".join(line), " ".join(c)
+    by_set = lambda rows: components_by_hand([(k, t) for k, (_, t) in enumerate(rows)])  # noqa: E731  numbers stand for rows
+    hot = " ".join(rng.choices(words, k=60))
+    rows = [(1, a), (None, bridge), (3, c), (None, "nobody links with this text"), (None, "nobody links with this text"), (7, "one text of an id"), (7, "and quite another text of the same id"), (8, "one text of an id")]
+    rows += [(None, hot)] * 30 + [(50, hot + " more"), (None, None), (None, " "), (9, a), (9, a), (60, hot + " or more")]
+    want = Counter()
+    sets = by_set(rows)
+    for k, (i, _) in enumerate(rows):
+        group = [rows[j][0] for j in range(len(rows)) if sets[j][1] == sets[k][1] and rows[j][0] is not None]
+        want[i, sets[k][0], min(group) if group else None] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns({x: F.lit("x") for x in ("k", "id", "first", "_n")})
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect())
+    assert got == want and got[3, 116, 1] == 1 and got[None, 117, 1] == 1
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(df).collect())
+    assert kept == {(1, a): 1, (None, "nobody links with this text"): 1, (7, "one text of an id"): 1, (7, "and quite another text of the same id"): 1, (50, hot + " more"): 1, (None, None): 1, (None, " "): 1}
+
+
 def test_long_words_are_hashed_whole():
     word = np.random.default_rng(5).integers(97, 123, 2 << 20).astype(np.uint8).tobytes().decode()
     other = word[:-1] + ("a" if word[-1] != "a" else "b")
