@@ -1,4 +1,4 @@
-"""Factor evaluation: rank information coefficients, quantile portfolios, verdicts, turnover, correlation."""
+"""Factor evaluation: rank information coefficients, quantile portfolios, verdicts, turnover, life cycle."""
 
 from __future__ import annotations
 
@@ -56,16 +56,6 @@ def rank_turnover(df: DataFrame, factor: str, date: str = "date", code: str = "c
     return r.groupBy(date).agg(F.avg("_d").alias("turnover")).where("turnover IS NOT NULL")
 
 
-def factor_correlation(df: DataFrame, factors: list[str], date: str = "date") -> DataFrame:
-    """a, b, corr, n_days: mean over dates of the daily rank correlation of each pair of factors. Factors are unpivoted once and pairs are built by date aggregates, not by a self-join."""
-    ranked = df.select(date, *(_rank(F.col(f), date).alias(f) for f in factors))
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    daily = ranked.groupBy(date).agg(*(_corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
-    long = daily.unpivot([date], [f"`{a}|{b}`" for a, b in pairs], "pair", "c").where("c IS NOT NULL")
-    out = long.groupBy("pair").agg(F.avg("c").alias("corr"), F.count(F.lit(1)).alias("n_days"))
-    return out.select(F.element_at(F.split("pair", r"\|"), 1).alias("a"), F.element_at(F.split("pair", r"\|"), 2).alias("b"), "corr", "n_days")
-
-
 def rolling_lifecycle(ic: DataFrame, window: int = 60, date: str = "date") -> DataFrame:
     """Trailing mean, IR and positive share of a daily IC series (at least window // 3 days), and a state from them. The series has a row per date, which one task can order."""
     w = W.orderBy(date).rowsBetween(-(window - 1), 0)

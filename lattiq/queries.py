@@ -51,7 +51,7 @@ _factor_query("zoo_short_recursive", {n: e for n, e in _short.items() if n not i
 # ---------------------------------------------------------------------------------------------------------------- panels
 
 from .functions import expr as X  # noqa: E402
-from .operators import evaluation, indicators, joins, metrics, simulation, text, validation  # noqa: E402
+from .operators import correlations, evaluation, indicators, joins, metrics, simulation, text, validation  # noqa: E402
 from .plans.panel import USER_PANEL_SQL, check_prices, table, user_panel  # noqa: E402
 
 C = X.col("close")
@@ -147,7 +147,7 @@ _PAIR = {"mom5": C / X.delay(C, 5) - 1, "size": X.log(X.col("amount")), "low_vol
 
 @query()
 def eval_factor_correlation(spark, sf_dir):
-    return evaluation.factor_correlation(Compiler(_PAIR).apply(brand_panel(spark, sf_dir)), list(_PAIR)).select("a", "b", _r("corr"), "n_days")
+    return correlations.factor_correlation(Compiler(_PAIR).apply(brand_panel(spark, sf_dir)), list(_PAIR)).select("a", "b", _r("corr"), "n_days")
 
 
 # ---------------------------------------------------------------------------------------------------------------- joins
@@ -548,4 +548,4 @@ def sentiment_seats(spark, sf_dir):
     return S.seat_scores(_board(spark, sf_dir)).select("code", _r("seats"))
 
 
-from . import queries_intraday, queries_market, queries_research  # noqa: E402, F401
+from . import queries_intraday, queries_market, queries_research, queries_selection  # noqa: E402, F401

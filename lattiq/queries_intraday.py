@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import expr as X
 from .functions.expr import NUDGE
-from .operators import candles, evaluation, research
+from .operators import candles, correlations, evaluation, research
 from .plans import intraday
 from .plans.panel import BRAND_PANEL_SQL, brand_panel, table
 from .queries import _BASE, _ICS, ORACLES, Compiler, _factor_query, _r, _sqlr, labelled, query
@@ -144,7 +144,7 @@ ORACLES["eval_factor_correlation"] = _pair_sql() + f"SELECT a, b, round(corr + {
 def eval_correlated_pairs(spark, sf_dir):
     from .queries import _PAIR
 
-    found = evaluation.factor_correlation(Compiler(_PAIR).apply(brand_panel(spark, sf_dir)), list(_PAIR))
+    found = correlations.factor_correlation(Compiler(_PAIR).apply(brand_panel(spark, sf_dir)), list(_PAIR))
     return evaluation.correlated_pairs(found, 0.1).select("a", "b", _r("corr"))
 
 

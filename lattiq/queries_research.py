@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions.expr import NUDGE, Compiler
 from .operators import frozen, joins, research, shadow, strategies
 from .operators.bench import bench, daily_ics
-from .operators.evaluation import factor_correlation
+from .operators.correlations import factor_correlation
 from .plans.panel import BRAND_PANEL_SQL, brand_panel, table
 from .queries import _PAIR, _TRIPS, MOMENTUM, _r, _sqlr, journal, query
 
