@@ -49,3 +49,17 @@ def vote(panel: DataFrame, code: str = "code", date: str = "date") -> DataFrame:
     buy = (is_true((fast > slow) & strong) | low) & is_true(F.col("_volume") > F.col("_mean")) & ~high
     sell = (is_true((fast < slow) & strong) | high) & is_true(F.col("_volume") < F.col("_mean")) & ~low
     return p.select(code, date, (buy.cast("int") - sell.cast("int")).alias("vote"))
+
+
+def ma_cross(bars: DataFrame, fast: int = 10, slow: int = 20, long_only: bool = True, code: str = "code", time: str = "ts", close: str = "close") -> DataFrame:
+    """code, ts, close, fast, slow, action, position: a row per trade of crossing moving averages. fast over slow buys (covers before), under it sells, and goes short unless long_only. Windows need slow + 1 closes."""
+    by = W.partitionBy(code).orderBy(time, close)
+    d = bars.where(F.col(close).isNotNull()).select(F.col(code).alias("code"), F.col(time).alias("ts"), F.col(close).cast("double").alias("close"))
+    by = W.partitionBy("code").orderBy("ts", "close")
+    mean = lambda n, back=0: F.avg("close").over(by.rowsBetween(-(n - 1) - back, -back))
+    d = d.withColumns({"fast": mean(fast), "slow": mean(slow), "_f": mean(fast, 1), "_s": mean(slow, 1), "_i": F.row_number().over(by)}).where(F.col("_i") > slow)
+    side = F.when((F.col("fast") > F.col("slow")) & (F.col("_f") <= F.col("_s")), 1).when((F.col("fast") < F.col("slow")) & (F.col("_f") >= F.col("_s")), 0 if long_only else -1)
+    d = d.withColumn("_side", side).where("_side IS NOT NULL").withColumn("_was", F.coalesce(F.lag("_side").over(by), F.lit(0)))
+    way = lambda a, b: (F.col("_was") == a) & (F.col("_side") == b)
+    action = F.when(way(0, 1), "buy").when(way(-1, 1), "cover,buy").when(way(1, 0), "sell").when(way(0, -1), "short").when(way(1, -1), "sell,short")
+    return d.where("_side != _was").select("code", "ts", "close", "fast", "slow", action.alias("action"), F.col("_side").alias("position"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import expr as X
 from .functions.expr import NUDGE
-from .operators import blends, correlations, selection
+from .operators import blends, correlations, selection, signals
 from .plans.panel import BRAND_PANEL_SQL, brand_panel, table
 from .queries import _PAIR, Compiler, _r, _sqlr, query
 
@@ -245,3 +245,11 @@ SELECT date, code, round(CASE WHEN stress > 0.01 AND i < from_i + 10 AND NOT gon
 def signal_cooldown(spark, sf_dir):
     r = returns(spark, sf_dir).withColumns({"stress": F.when(F.col("ret") < -0.9, F.least(F.lit(1.0), -F.col("ret") / 4)).otherwise(0.0), "safe": F.col("ret") > 3})
     return selection.suppressed(r, "stress", "safe", hold=10, series=["code"]).select("date", "code", _r("cooled"))
+
+
+@query(f"""WITH RECURSIVE {BRAND_PANEL_SQL}, a AS (SELECT code, date AS ts, close, avg(close) OVER w5 AS fast, avg(close) OVER w20 AS slow, avg(close) OVER v5 AS f, avg(close) OVER v20 AS s, row_number() OVER (PARTITION BY code ORDER BY date, close) AS i FROM panel WHERE close IS NOT NULL
+  WINDOW w5 AS (PARTITION BY code ORDER BY date, close ROWS 4 PRECEDING), w20 AS (PARTITION BY code ORDER BY date, close ROWS 19 PRECEDING), v5 AS (PARTITION BY code ORDER BY date, close ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), v20 AS (PARTITION BY code ORDER BY date, close ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, CASE WHEN fast > slow AND f <= s THEN 1 WHEN fast < slow AND f >= s THEN -1 END AS side FROM a WHERE i > 20), c AS (SELECT *, coalesce(lag(side) OVER (PARTITION BY code ORDER BY i), 0) AS was FROM b WHERE side IS NOT NULL)
+SELECT code, ts, {_sqlr('close', 'fast', 'slow', digits=4)}, CASE WHEN was = 0 AND side = 1 THEN 'buy' WHEN was = -1 THEN 'cover,buy' WHEN was = 0 THEN 'short' ELSE 'sell,short' END AS action, side AS position FROM c WHERE side != was""")
+def signal_ma_cross(spark, sf_dir):
+    return signals.ma_cross(brand_panel(spark, sf_dir), 5, 20, False, time="date").select("code", "ts", _r("close", 4), _r("fast", 4), _r("slow", 4), "action", "position")

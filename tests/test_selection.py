@@ -20,7 +20,7 @@ def day(k):
     return DAY + datetime.timedelta(days=int(k))
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLES if n.startswith(("eval_rolling_f", "eval_rolling_c", "eval_code", "eval_batch", "eval_periodic", "blend_", "signal_cooldown"))])
+@pytest.mark.parametrize("name", [n for n in ORACLES if n.startswith(("eval_rolling_f", "eval_rolling_c", "eval_code", "eval_batch", "eval_periodic", "blend_", "signal_cooldown", "signal_ma_cross"))])
 def test_queries_equal_sql(spark, name):
     got, want = sorted_rows(QUERIES[name](spark, SF).toPandas()), sorted_rows(sql_rows(ORACLES[name], SF))
     assert got == want, [p for p in zip(got, want, strict=False) if p[0] != p[1]][:2]
