@@ -44,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Written:
     """Wide or long tables that several steps read, as compressed Parquet in the shared folder; drop() deletes them when no one reads them any more."""
 
@@ -64,14 +69,13 @@ class Written:
 
     def drop(self) -> None:
         for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(self.spark, path)
         self.paths = []
 
 
 def held_out(id_col: str) -> F.Column:
-    """True for the fifth of the rows that no model may learn from."""
-    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == 0
+    """True for the fifth of the rows that no model may learn from; a null id isn't among them."""
+    return F.coalesce((F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == 0, F.lit(False))
 
 
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -6,12 +6,14 @@ import re
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 LENGTH = 4096
 END_ID = 2
@@ -21,6 +23,8 @@ GROUP_DOCS = 2048
 REPEATS = 64
 #: Words whose ids a Python worker keeps at most; beyond that it starts anew.
 CACHE_WORDS = 300_000
+#: Bytes of text whose words are split and numbered together.
+SLICE = 4 << 20
 
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)?([.,!?;:]+)?")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -49,6 +53,7 @@ class WordIds(dict):
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.by_words = True
+        self.parts: dict[str, bytes] = {}
         try:
             own = [self.text(" ".join(_PROBES)), *(self[w] for w in _PROBES)]
         except Exception:  # a model that can't be asked for pieces of such letters
@@ -63,13 +68,26 @@ class WordIds(dict):
     def piece(self, text: str) -> bytes:
         return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters)))
 
+    def part(self, text: str) -> bytes:
+        """piece, remembered apart from the words: a word's forms in other case and with other marks share it."""
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) > CACHE_WORDS:
+                self.parts.clear()
+            ids = self.parts[text] = self.piece(text)
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+
     def __missing__(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
         if not plain:
             ids = self.encode(word)
         else:
             letters, marks = plain.groups()
-            ids = (self.piece(letters.lower()) if letters else b"") + (self.piece(marks) if marks else b"")
+            ids = (self.part(letters.lower()) if letters else b"") + (self.part(marks) if marks else b"")
         self[word] = ids
         return ids
 
@@ -80,6 +98,24 @@ class WordIds(dict):
             self.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a column. Texts are split and their words numbered as arrays; each different word is looked up once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, f"[{_ODD[0]}-{_ODD[-1]}]") if self.by_words else pa.array([True] * len(texts))
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = words.flatten().dictionary_encode()
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        known = [self[w] for w in coded.dictionary.to_pylist()]
+        n = np.array([len(x) // 4 for x in known], np.int64)
+        code = coded.indices.to_numpy()
+        size = n[code]
+        to = np.concatenate([[0], np.cumsum(size)])
+        first = np.concatenate([[0], np.cumsum(n)])[:-1]
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[code] - to[:-1], size) + np.arange(to[-1])]
+        bounds = to[words.offsets.to_numpy()]
+        return [self.encode(texts[k].as_py()) if o else ids[a:b].tobytes() for k, (o, a, b) in enumerate(zip(odd.to_pylist(), bounds[:-1], bounds[1:], strict=True))]
+
 
 @lru_cache(2)
 def _word_ids(path: str) -> WordIds:
@@ -95,17 +131,17 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         ids_of = _word_ids(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col, SLICE)):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids_of.text(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.column(batch.column(1)), strict=True):
+                data = ids + end
                 n = len(data) // 4
                 for start in range(0, n, length):
                     part = data[4 * start : 4 * (start + length)]
                     for x, v in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
-        ids_of.clear()  # workers live on and serve other operators
+        ids_of.forget()  # workers live on and serve other operators
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long")

@@ -303,6 +303,16 @@ def test_word_ids_equal_whole_texts():
     assert ids.by_words
 
 
+def test_columns_of_texts_equal_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    ids = packing.WordIds(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["Some words, some WORDS.", None, "", "  \n\t ", "odd\x1cbreak here", "na\u00efve\u00a0space\u2003wide\u200bjoined", "x" * 5000, "a\x1f", " lead and trail ", "don't stop"] * 3
+    got = ids.column(pa.array(texts).slice(1))
+    assert got == [ids.encode(t or "") for t in texts[1:]] and ids.column(pa.array([], pa.string())) == []
+
+
 def test_other_tokenizers_encode_whole_texts():
     from tokenizers import Tokenizer
 
