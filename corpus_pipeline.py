@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm import decontamination, jaccard, packing, quality_model, secrets
-from lattiq.llm.common import shared_folder, small_batches, table
+from lattiq.llm.common import delete, shared_folder, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents. Stages are written to the shared folder in spark.checkpoint.dir."""
+    """Applies STAGES to documents. Stages are written to the shared folder in spark.checkpoint.dir; each is deleted once the next one is written, and only the last stays."""
     small_batches(spark)
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
