@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ CACHE_WORDS = 300_000
 #: Bytes of text whose words are split and numbered together.
 SLICE = 4 << 20
 
+#: Formats of 1, 2, ... little-endian 32-bit numbers.
+_UINTS = [struct.Struct(f"<{n}I") for n in range(1, 33)]
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)?([.,!?;:]+)?")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words and texts on which the quick way must give a tokenizer's own ids; with any other tokenizer, texts are encoded whole.
@@ -66,7 +69,9 @@ class WordIds(dict):
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def piece(self, text: str) -> bytes:
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters)))
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)  # printable ASCII stands for itself
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return _UINTS[len(ids) - 1].pack(*ids) if 0 < len(ids) <= len(_UINTS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def part(self, text: str) -> bytes:
         """piece, remembered apart from the words: a word's forms in other case and with other marks share it."""
@@ -77,10 +82,6 @@ class WordIds(dict):
             ids = self.parts[text] = self.piece(text)
         return ids
 
-    def forget(self) -> None:
-        self.clear()
-        self.parts.clear()
-
     def __missing__(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
         if not plain:
@@ -141,7 +142,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     for x, v in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
-        ids_of.forget()  # workers live on and serve other operators
+        ids_of.clear()  # workers live on and serve other operators; only the words' parts stay for the next task
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long")
