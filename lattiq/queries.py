@@ -548,4 +548,4 @@ def sentiment_seats(spark, sf_dir):
     return S.seat_scores(_board(spark, sf_dir)).select("code", _r("seats"))
 
 
-from . import queries_intraday, queries_market, queries_research, queries_selection  # noqa: E402, F401
+from . import queries_intraday, queries_learning, queries_market, queries_research, queries_selection  # noqa: E402, F401

@@ -58,7 +58,7 @@ class TableReader(DataSourceReader):
         with self._open() as con:
             last = con.execute(f"SELECT max(rowid) FROM {_name((self.table,))}").fetchone()[0]
         if last is None:
-            return []
+            return [Rows(0, 0)]
         step = -(-(last + 1) // self.n)
         return [Rows(low, low + step) for low in range(0, last + 1, step)]
 
