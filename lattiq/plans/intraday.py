@@ -48,7 +48,7 @@ def bars_of_day(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     by_s = day.orderBy(F.col("s").desc_nulls_last(), "i").rowsBetween(W.unboundedPreceding, 0)
     traded = F.when(F.col("s").isNotNull(), F.col("volume"))
     return m.withColumns({
-        "ambiguity_mean": F.avg("ambiguity").over(day), "rank_r": F.when(later, F.row_number().over(day.orderBy(F.col("r").asc_nulls_last(), "i"))),
+        "ambiguity_mean": F.avg("ambiguity").over(day), "rank_r": F.when(later, F.row_number().over(day.orderBy(later.cast("int").desc(), F.col("r").asc_nulls_last(), "i"))),
         "rank_pos": F.when(later, F.row_number().over(day.orderBy(later.cast("int").desc(), F.col("pos").asc_nulls_last(), "i"))), "traded": traded, "cum_traded": F.sum(traded).over(by_s), "all_traded": F.sum(traded).over(day),
     })
 
