@@ -54,7 +54,7 @@ def hedged(port: DataFrame, index: DataFrame, method: str = "ols", window: int =
         w = order.rowsBetween(1 - window, 0)
         own = F.when(F.count("_x").over(w) >= window, F.try_divide(F.covar_samp("ret", "_x").over(w), F.var_samp("_x").over(w)))
         p = p.withColumn("_own", own).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
-        later = F.first("_own", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+        later = F.last("_own", ignorenulls=True).over(W.orderBy(F.desc(date)).rowsBetween(W.unboundedPreceding, 0))
         p = p.withColumn("beta", F.when(F.col("_n") >= least, F.coalesce(later, F.lit(0.0))).otherwise(0.0))
     else:
         raise ValueError(f"unknown method {method!r}")

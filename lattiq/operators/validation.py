@@ -1,4 +1,4 @@
-"""Statistical validation: false-discovery control in SQL windows; resampling replayed in Arrow batches, many draws per task."""
+"""Statistical validation: false-discovery control in ranked parts of the p-values; resampling replayed in Arrow batches, many draws per task."""
 
 from __future__ import annotations
 
@@ -9,12 +9,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", key: str = "name") -> DataFrame:
-    """df with q: the least false-discovery rate at which the row would be accepted. The table has a row per hypothesis."""
-    up = W.orderBy(F.col(p), F.col(key))
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    ranked = df.withColumn("_raw", F.least(F.lit(1.0), F.col(p) * n / F.row_number().over(up)))
-    return ranked.withColumn("q", F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing))).drop("_raw")
+#: Parts of the p-values' range that are ranked side by side (fixed value).
+PARTS = 64
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "p_value") -> DataFrame:
+    """df with q: the least false-discovery rate at which the row would be accepted. The table has a row per hypothesis; one without p counts, comes last and has q 1.
+
+    Equal p-values share q, that of the last of them, so each is ranked once, in parts of the range; only a row per part is ordered in one place.
+    """
+    x = F.col("_p")
+    counted = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    bounds = counted.agg(F.percentile_approx("_p", [i / PARTS for i in range(1, PARTS)], 10_000).alias("_bounds"))
+    placed = counted.crossJoin(F.broadcast(bounds)).select("_p", "_k", F.size(F.filter("_bounds", lambda b: b < x)).alias("_part"))
+    upward, downward = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.sum("_k").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(upward), F.lit(0)).alias("_start"))
+    inner = W.partitionBy("_part")
+    i = F.col("_start") + F.sum("_k").over(inner.orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.join(F.broadcast(starts), "_part").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))
+    ranked = ranked.select("_part", "_p", F.least(F.lit(1.0), x * F.col("_all") / i).alias("_raw"))
+    later = ranked.groupBy("_part").agg(F.min("_raw").alias("_least")).select("_part", F.min("_least").over(downward).alias("_later"))
+    within = F.min("_raw").over(inner.orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0))
+    found = ranked.join(F.broadcast(later), "_part").select("_p", F.least(within, "_later").alias("_q"))
+    return df.join(found, F.col(p) == x, "left").withColumn("q", F.coalesce("_q", F.lit(1.0))).drop("_p", "_q")
 
 
 def _draws(spark: SparkSession, n: int) -> DataFrame:
