@@ -1,8 +1,24 @@
 """Steps whose work grows with the rows and whose results don't depend on how rows are dealt."""
 
+import datetime
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from lattiq.operators import validation
+from lattiq.plans.panel import bars
+
+
+def dealt(spark, days=1, each=900):
+    """The same ticks in several orders and numbers of partitions."""
+    rng = np.random.default_rng(8)
+    at = datetime.datetime(2024, 1, 1)
+    sizes, paid = rng.integers(1, 51, (days, each)), rng.integers(10_000, 9_000_000, (days, each)) / 100
+    rows = [(at + datetime.timedelta(days=d), "a", i, float(paid[d, i] / sizes[d, i]), float(sizes[d, i]) / 10) for d in range(days) for i in range(each)]
+    for seed, parts in ((0, 1), (1, 1), (2, 3), (3, 7)):
+        mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))] if seed else rows
+        yield rows, bars(spark.createDataFrame(mixed, "ts timestamp, code string, i int, price double, size double").repartition(parts, F.col("i") % parts), "day", ("i",)).withColumn("sector", F.lit(0))
 
 
 def test_false_discovery_of_many_rows_ties_and_missing(spark):
@@ -19,3 +35,13 @@ def test_false_discovery_of_many_rows_ties_and_missing(spark):
             least = min(least, 1.0 if x is None else x * len(order) / place)
             want[name] = least
         assert {r["name"]: r["q"] for r in found.collect()} == want
+
+
+def test_sums_of_bars_are_those_of_the_terms_in_any_order(spark):
+    for rows, panel in dealt(spark):
+        got = panel.first()
+        assert got["amount"] == math.fsum(r[3] * r[4] for r in rows) and got["volume"] == math.fsum(r[4] for r in rows)
+    odd = [(1, 2e17), (1, 0.1), (2, math.inf), (2, 1.0), (3, math.nan), (3, 1.0), (4, None), (5, 1e-9), (5, None), (6, -0.3), (6, 0.3)]
+    ticks = spark.createDataFrame([(datetime.datetime(2024, 1, 1), k, x, 1.0) for k, x in odd], "ts timestamp, code int, price double, size double")
+    got = {r["code"]: r["amount"] for r in bars(ticks).collect()}
+    assert got[1] == 2e17 and got[2] == math.inf and (got[3] is None or math.isnan(got[3])) and got[4] is None and got[5] == 1e-9 and got[6] == 0
