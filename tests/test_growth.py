@@ -6,7 +6,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from lattiq.functions.expr import Compiler
 from lattiq.operators import validation
+from lattiq.plans import alpha101
 from lattiq.plans.panel import bars
 
 
@@ -45,3 +47,9 @@ def test_sums_of_bars_are_those_of_the_terms_in_any_order(spark):
     ticks = spark.createDataFrame([(datetime.datetime(2024, 1, 1), k, x, 1.0) for k, x in odd], "ts timestamp, code int, price double, size double")
     got = {r["code"]: r["amount"] for r in bars(ticks).collect()}
     assert got[1] == 2e17 and got[2] == math.inf and (got[3] is None or math.isnan(got[3])) and got[4] is None and got[5] == 1e-9 and got[6] == 0
+
+
+def test_alpha_041_is_the_same_in_any_order(spark):
+    e = {"x": alpha101.alphas()["alpha_041"]}
+    found = [sorted(tuple(r) for r in Compiler(e).apply(panel).collect()) for _, panel in dealt(spark, 6, 300)]
+    assert len(found[0]) == 6 and all(f == found[0] for f in found)
