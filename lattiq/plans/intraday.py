@@ -1,7 +1,7 @@
 """Daily factors of minute bars (code, date, open, high, low, close, volume, amount and columns that order a day's bars), and of daily bars, as windows and grouped aggregates.
 
 Prices and volumes of zero make no ratio: what divides by one is NULL, and so is the logarithm of one.
-A day's windows and ranks are partitioned by code and date, so a shuffle by (code, date) serves them all; only `day_shapes` takes a day's bars as a group. Too few bars in a day, or days in a window, give NULL.
+A day's windows and ranks are partitioned by code and date, so a shuffle by (code, date) serves them all; only `day_shapes` takes a day's volumes, and its bars by blocks, as groups. Too few bars in a day, or days in a window, give NULL.
 """
 
 from __future__ import annotations
@@ -144,6 +144,8 @@ def bar_factors(bars: DataFrame, window: int = 20, percentile: int = 60) -> Data
 
 #: Fewest bars of a spectrum, of followed peaks and of regressions; lags and bars of a regression, fewest regressions of a day; peaks looked at, bars between them and after them (fixed values).
 FEW_SPECTRUM, LAGS, REGRESSED, FEW_FITS, PEAKS, APART = 12, 6, 30, 10, 10, 5
+#: Bars of a block whose regressions are a group, and regressions solved at once (fixed values).
+BLOCK, STACKED = 4096, 512
 
 
 def followed_peaks(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -178,36 +180,64 @@ def _spectrum(v: np.ndarray) -> float | None:
     return float(power[max(1, round(0.4 * (len(power) - 1))) :].sum() / whole) if whole >= 1e-20 else None
 
 
-def _lag_t(close: np.ndarray, volume: np.ndarray) -> tuple[float | None, float | None, float | None]:
+def _lag_t(close: np.ndarray, volume: np.ndarray, start: int) -> np.ndarray:
+    """t-values of the regressions that end at the bars from `start` on, a row each: the constant's and those of the lags. Rows with a missing number are zero in the stacked matrices, which leaves the fit as it is without them."""
     r, dv = np.diff(np.log(close)), np.diff(volume)
-    found = []
-    for last in range(LAGS + REGRESSED, len(r)):
-        rows = slice(last - REGRESSED + 1, last + 1)
-        x = np.column_stack([np.ones(REGRESSED), *(dv[rows.start - lag : rows.stop - lag] for lag in range(LAGS))])
-        good = np.isfinite(x).all(axis=1) & np.isfinite(r[rows])
-        x, y = x[good], r[rows][good]
-        if len(y) < REGRESSED // 2 or x[:, 1].std() < 1e-15:
-            continue
-        fit = np.linalg.lstsq(x, y, rcond=None)[0]
-        free = len(y) - LAGS - 1
-        error = np.sqrt(np.abs(np.diag(np.linalg.pinv(x.T @ x + 1e-10 * np.eye(LAGS + 1)))) * (((y - x @ fit) ** 2).sum() / free if free > 0 else 1.0))
-        found.append(fit / np.where(error > 1e-15, error, 1.0))
-    if len(found) < FEW_FITS:
-        return None, None, None
-    t = np.array(found)
-    return float(t[:, 2:].std(axis=1).mean()), float(np.abs(t[:, 0]).mean()), float(t[:, 0].mean())
-
-
-def day_shapes(minutes: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """code, date, ripple: share of the volume's power in its faster waves; lag_spread, level_size, level: spread of the t-values of lagged volume changes in rolling regressions of returns, size and mean of the constant's. A day's bars are a group of their own, which numpy takes whole."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(list(order), kind="stable")
+    ends = np.arange(start - 1, len(r))
+    if not len(ends):
+        return np.empty((0, LAGS + 1))
+    lagged = np.lib.stride_tricks.sliding_window_view(dv, LAGS)[:, ::-1]  # a row per return, the latest change first
+    place = ends[:, None] + np.arange(1 - REGRESSED, 1)
+    x, y = lagged[place - (LAGS - 1)], r[place]
+    good = np.isfinite(x).all(axis=2) & np.isfinite(y)
+    n = good.sum(axis=1)
+    x, y = np.where(good[:, :, None], x, 0.0), np.where(good, y, 0.0)
+    first = x[:, :, 0]
+    apart = np.where(good, first - (first.sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
+    use = (n >= REGRESSED // 2) & (np.sqrt((apart**2).sum(axis=1) / np.maximum(n, 1)) >= 1e-15)
+    x, y, n = np.concatenate([good[:, :, None].astype(float), x], axis=2)[use], y[use], n[use]
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    s2 = s * s + 1e-10
+    # the fit of least length, and the diagonal of the inverse of x'x + 1e-10, each without the directions that are rounding noise
+    known = s > np.finfo(float).eps * np.maximum(n, LAGS + 1)[:, None] * s[:, :1]
+    fit = np.einsum("kji,kj->ki", v, np.where(known, np.einsum("kti,kt->ki", u, y) / np.where(known, s, 1.0), 0.0))
+    spread = np.einsum("kji,kj->ki", v * v, np.where(s2 > 1e-15 * s2[:, :1], 1 / s2, 0.0))
+    free = n - LAGS - 1
+    left = ((y - np.einsum("kti,ki->kt", x, fit)) ** 2).sum(axis=1)
+    left = np.where(left > (n * np.finfo(float).eps) ** 2 * (y**2).sum(axis=1), left, 0.0)  # an exact fit leaves rounding noise only
+    error = np.sqrt(spread * np.where(free > 0, left / np.maximum(free, 1), 1.0)[:, None])
+    return fit / np.where(error > 1e-15, error, 1.0)
+
+
+def day_shapes(minutes: DataFrame, order: tuple[str, ...], size: int = BLOCK) -> DataFrame:
+    """code, date, ripple: share of the volume's power in its faster waves; lag_spread, level_size, level: spread of the t-values of lagged volume changes in rolling regressions of returns, size and mean of the constant's.
+
+    Regressions are taken in blocks of `size` bars of a day, at least the bars ahead of a regression, which bring the bars before them along, and added up; only the volumes of a day are a group of their own, for their spectrum."""
+    kind = minutes.schema["code"].dataType.simpleString()
+    keys = f"code {kind}, date date"
+    before = LAGS + REGRESSED - 1  # bars ahead of the one at which a regression ends
+    i = F.row_number().over(W.partitionBy("code", "date").orderBy(*order)) - 1
+    m = minutes.select("code", "date", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"), i.alias("i"))
+    block = F.floor(F.col("i") / size)
+    carried = F.when(F.col("i") % size >= size - before, F.array(block, block + 1)).otherwise(F.array(block))
+
+    def regressions(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("i")
+        # a day's first regressions end a bar later than its first full window
+        start = max(size * int(p["b"].iloc[0]), before + 2) - int(p["i"].iloc[0])
+        parts = [np.empty((0, LAGS + 1))]
         v, c = p["volume"].to_numpy(float), p["close"].to_numpy(float)
         with np.errstate(divide="ignore", invalid="ignore"):
-            spread, size, level = _lag_t(c, v) if len(c) >= REGRESSED else (None, None, None)
-        return pd.DataFrame([(p["code"].iloc[0], p["date"].iloc[0], _spectrum(v), spread, size, level)], columns=["code", "date", "ripple", "lag_spread", "level_size", "level"])
-
-    kind = minutes.schema["code"].dataType.simpleString()
-    used = dict.fromkeys(["code", "date", *order, "close", "volume"])
-    return minutes.select(*used).groupBy("code", "date").applyInPandas(run, f"code {kind}, date date, ripple double, lag_spread double, level_size double, level double")
+            for at in range(start, len(p), STACKED):
+                stop = min(at + STACKED, len(p))
+                parts.append(_lag_t(c[at - before : stop], v[at - before : stop], before))
+        t = np.concatenate(parts)
+        return pd.DataFrame([(p["code"].iloc[0], p["date"].iloc[0], None, len(t), t[:, 2:].std(axis=1).sum(), np.abs(t[:, 0]).sum(), t[:, 0].sum())], columns=["code", "date", "ripple", "k", "lag_spread", "level_size", "level"])
+
+    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["code"].iloc[0], pdf["date"].iloc[0], _spectrum(pdf.sort_values("i")["volume"].to_numpy(float)))], columns=["code", "date", "ripple"])
+
+    fits = m.withColumn("b", F.explode(carried)).groupBy("code", "date", "b").applyInPandas(regressions, f"{keys}, ripple double, k long, lag_spread double, level_size double, level double")
+    waves = m.select("code", "date", "volume", "i").groupBy("code", "date").applyInPandas(spectrum, f"{keys}, ripple double")
+    found = fits.unionByName(waves, allowMissingColumns=True).groupBy("code", "date").agg(F.max("ripple").alias("ripple"), F.sum("k").alias("_k"), *(F.sum(c).alias(c) for c in ("lag_spread", "level_size", "level")))
+    return found.select("code", "date", "ripple", *(F.when(F.col("_k") >= FEW_FITS, F.col(c) / F.col("_k")).alias(c) for c in ("lag_spread", "level_size", "level")))

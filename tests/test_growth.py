@@ -4,11 +4,12 @@ import datetime
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lattiq.functions.expr import Compiler
 from lattiq.operators import validation
-from lattiq.plans import alpha101
+from lattiq.plans import alpha101, intraday
 from lattiq.plans.panel import bars
 
 
@@ -53,3 +54,40 @@ def test_alpha_041_is_the_same_in_any_order(spark):
     e = {"x": alpha101.alphas()["alpha_041"]}
     found = [sorted(tuple(r) for r in Compiler(e).apply(panel).collect()) for _, panel in dealt(spark, 6, 300)]
     assert len(found[0]) == 6 and all(f == found[0] for f in found)
+
+
+def test_day_shapes_in_blocks_equal_a_loop_over_the_day(spark):
+    rng = np.random.default_rng(31)
+    rows = []
+    for day, n in enumerate((36, 37, 48, 64, 99, 128, 163, 300)):
+        c, v = 10 * np.exp(rng.normal(size=n) * 0.01), rng.integers(1, 30, n).astype(float)
+        v[120:170] = 7.0  # no regression while the volume rests
+        rows += [(f"c{day}", datetime.date(2024, 1, 1), i, None if i % 41 == 40 else float(c[i]), None if i % 67 == 66 else float(v[i])) for i in range(n)]
+    rows += [(None, None, i, float(10 + rng.random()), float(rng.integers(1, 30))) for i in range(90)]
+    df = spark.createDataFrame(rows, "code string, date date, i int, close double, volume double").repartition(5)
+    plain, blocks = ({r["code"]: r for r in intraday.day_shapes(df, ("i",), **k).collect()} for k in ({}, {"size": 64}))
+    for code in {r[0] for r in rows}:
+        c, v = (np.array([np.nan if r[k] is None else r[k] for r in rows if r[0] == code]) for k in (3, 4))
+        r, dv, found = np.diff(np.log(c)), np.diff(v), []
+        for last in range(36, len(r)):
+            x = np.array([[1.0, *(dv[t - lag] for lag in range(6))] for t in range(last - 29, last + 1)])
+            y = r[last - 29 : last + 1]
+            good = np.isfinite(x).all(axis=1) & np.isfinite(y)
+            x, y = x[good], y[good]
+            if len(y) < 15 or x[:, 1].std() < 1e-15:
+                continue
+            b = np.linalg.lstsq(x, y, rcond=None)[0]
+            error = np.sqrt(np.diag(np.linalg.pinv(x.T @ x + 1e-10 * np.eye(7))) * ((y - x @ b) ** 2).sum() / (len(y) - 7))
+            found.append(b / np.where(error > 1e-15, error, 1.0))
+        t = np.array(found)
+        want = (t[:, 2:].std(axis=1).mean(), np.abs(t[:, 0]).mean(), t[:, 0].mean()) if len(t) >= 10 else (None, None, None)
+        for got in (plain[code], blocks[code]):
+            assert [got[k] for k in ("lag_spread", "level_size", "level")] == [w if w is None else pytest.approx(w, rel=1e-6, abs=1e-9) for w in want]
+        assert plain[code]["ripple"] == blocks[code]["ripple"] and plain[code]["ripple"] is not None
+
+
+def test_exact_fits_of_day_shapes_have_no_spread(spark):
+    n, step = 600, np.repeat(np.random.default_rng(2).permutation(40), 60)[:600]  # price and volume move once in 60 bars, together
+    rows = [("a", datetime.date(2024, 1, 1), i, float(20 + 7.3 * step[i]), float(1 + step[i] * 3)) for i in range(n)]
+    got = intraday.day_shapes(spark.createDataFrame(rows, "code string, date date, i int, close double, volume double"), ("i",)).first()
+    assert got["lag_spread"] < 1e-12 and got["level_size"] < 1e-12
