@@ -2,12 +2,14 @@
 
 import datetime
 import math
+from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattiq.functions.expr import Compiler
+from lattiq.functions.expr import NUDGE, Compiler, digest
 from lattiq.operators import validation
 from lattiq.plans import alpha101, intraday
 from lattiq.plans.panel import bars
@@ -56,6 +58,19 @@ def test_alpha_041_is_the_same_in_any_order(spark):
     assert len(found[0]) == 6 and all(f == found[0] for f in found)
 
 
+def test_alpha_041_at_a_rounding_edge_is_the_exact_value(spark):
+    paid = [(26688.78, 20.0), (28353.01, 35.0), (85606.39, 38.0), (79613.0, 44.0), (87471.72, 42.0), (52706.01, 45.0)] * 60
+    price, size = np.array([p / q for p, q in paid]), np.array([q for _, q in paid])
+    shown = lambda amount: float((root - Decimal(amount.numerator) / Decimal(amount.denominator) / Decimal(size.sum()) + Decimal(NUDGE)).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    root, terms = (Decimal(price.max()) * Decimal(price.min())).sqrt(), price * size
+    want = shown(sum(Fraction(float(x)) for x in terms))
+    assert want == -258.190907 and shown(Fraction(float(np.cumsum(terms)[-1]))) == -258.190908  # one after the other, as doubles, rounding adds up
+    ticks = spark.createDataFrame([(datetime.datetime(1996, 2, 1), "a", i, float(price[i]), float(size[i])) for i in range(len(paid))], "ts timestamp, code string, i int, price double, size double")
+    e = {"x": alpha101.alphas()["alpha_041"]}
+    for parts in (1, 3, 7):
+        assert Compiler(e).apply(bars(ticks.repartition(parts, F.col("i") % parts), "day", ("i",))).select(digest("x")).first()["x"] == want
+
+
 def test_day_shapes_in_blocks_equal_a_loop_over_the_day(spark):
     rng = np.random.default_rng(31)
     rows = []
