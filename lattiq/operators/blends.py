@@ -10,6 +10,8 @@ from ..functions.expr import _rank
 
 #: Days of a state that weights look back over and need, and the least weight of either signal (fixed values).
 BLEND_DAYS, BLEND_LEAST, BLEND_FLOOR = 252, 20, 0.15
+#: Mean ICs whose sum is this or less cancel out: rank correlations are fractions of few codes, so sums that are exactly 0 happen, and show as rounding noise of either sign (fixed value).
+BLEND_TIE = 1e-12
 #: Days of a state that a factor needs in training, factors of a set below which all days count, weights of a factor's own state: good, middling, bad (fixed values).
 STATE_DAYS, SET_LEAST, STATE_WEIGHTS = 10, 3, (1.0, 0.7, 0.3)
 #: Days looked ahead for a tail, the fall that counts as one; what a predicted tail takes from the weight, and the least weight left (fixed values).
@@ -20,14 +22,14 @@ def state_weights(ics: DataFrame, states: DataFrame, window: int = BLEND_DAYS, l
     """date, state, weight of the first signal, from ics (date, first, second) and states (date, state).
 
     The ICs of earlier dates of the same state count, of the last `window` dates: weight = first / (first + second) by their means, within floor and 1 - floor; 0.5 where there are fewer than `least` dates, the sum isn't
-    positive or the first is 0. A date without a state counts as "osc".
+    positive (to BLEND_TIE, so that rounding doesn't decide it) or the first is 0. A date without a state counts as "osc".
     """
     s = ics.join(states, date, "left").select(date, "first", "second", F.coalesce("state", F.lit("osc")).alias("state"))
     s = s.withColumn("_i", F.row_number().over(W.orderBy(date)))  # a row a date
     w = W.partitionBy("state").orderBy("_i").rangeBetween(-(window - 1), -1)
     a, b = F.avg("first").over(w), F.avg("second").over(w)
     share = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), F.try_divide(a, a + b)))
-    fine = (F.count(F.lit(1)).over(w) >= least) & (a + b > 0) & (F.abs(a) > 1e-9)
+    fine = (F.count(F.lit(1)).over(w) >= least) & (a + b > BLEND_TIE) & (F.abs(a) > 1e-9)
     return s.select(date, "state", F.when(fine, share).otherwise(0.5).alias("weight"))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.functions.expr import NUDGE, Compiler, digest
-from lattiq.operators import validation
+from lattiq.operators import blends, validation
 from lattiq.plans import alpha101, intraday
 from lattiq.plans.panel import bars
 
@@ -71,6 +71,25 @@ def test_alpha_041_at_a_rounding_edge_is_the_exact_value(spark):
         assert Compiler(e).apply(bars(ticks.repartition(parts, F.col("i") % parts), "day", ("i",))).select(digest("x")).first()["x"] == want
 
 
+def test_state_weights_of_mean_ics_that_cancel_out_are_alike(spark):
+    rng, seen, day = np.random.default_rng(4), {}, datetime.date(2024, 1, 1)
+    for _ in range(200):  # rank correlations of 25 codes are whole numbers of 1/1300
+        a = rng.integers(-600, 600, 33)
+        b = rng.permutation(-a)
+        total = np.cumsum(a / 1300)[-1] / 33 + np.cumsum(b / 1300)[-1] / 33
+        if abs(a.sum()) > 100:
+            seen.setdefault(np.sign(total), (a, b, total))
+    assert set(seen) == {-1, 0, 1}
+    states = spark.createDataFrame([(day + datetime.timedelta(days=i), "bull") for i in range(34)], "date date, state string")
+    for more, want in ((0, (0.5, 0.5)), (1, (0.15, 0.85)), (-1, (0.5, 0.5))):  # a sum of exactly 0, one of 1/42900, one below 0
+        for a, b, total in seen.values():
+            assert abs(total) < 1e-15
+            first = [*a[:-1], a[-1] + more, 0] if more else [*a, 0]
+            ics = spark.createDataFrame([(day + datetime.timedelta(days=i), float(x) / 1300, float(y) / 1300) for i, (x, y) in enumerate(zip(first, [*b, 0], strict=True))], "date date, first double, second double")
+            last = blends.state_weights(ics, states, 100).where(F.col("date") == day + datetime.timedelta(days=33)).first()
+            assert last["weight"] == want[int(a.sum() > 0)]
+
+
 def test_day_shapes_in_blocks_equal_a_loop_over_the_day(spark):
     rng = np.random.default_rng(31)
     rows = []
