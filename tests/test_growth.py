@@ -90,6 +90,20 @@ def test_state_weights_of_mean_ics_that_cancel_out_are_alike(spark):
             assert last["weight"] == want[int(a.sum() > 0)]
 
 
+def test_signals_are_blended_alike_where_mean_ics_cancel_out(spark):
+    rng, day = np.random.default_rng(4), datetime.date(2024, 1, 1)
+    for _ in range(200):  # about a third of these sums of 0 round up
+        a = rng.integers(-600, 600, 33)
+        b = rng.permutation(-a)
+        if np.cumsum(a / 1300)[-1] / 33 + np.cumsum(b / 1300)[-1] / 33 > 0 and abs(a.sum()) > 100:
+            break
+    ics = spark.createDataFrame([(day + datetime.timedelta(days=i), float(x) / 1300, float(y) / 1300) for i, (x, y) in enumerate(zip([*a, 0], [*b, 0], strict=True))], "date date, first double, second double")
+    weights = blends.state_weights(ics, ics.select("date", F.lit("bull").alias("state")), 100)
+    rows = [(day + datetime.timedelta(days=33), c, float(x), float(y)) for c, x, y in (("a", 1, 8), ("b", 2, 7), ("c", 3, 9), ("d", 4, 6))]
+    got = blends.state_blend(spark.createDataFrame(rows, "date date, code string, x double, y double"), "x", "y", weights).collect()
+    assert {r["code"]: r["blended"] for r in got} == {"a": 0.5, "b": 0.5, "c": 0.875, "d": 0.625}
+
+
 def test_day_shapes_in_blocks_equal_a_loop_over_the_day(spark):
     rng = np.random.default_rng(31)
     rows = []
